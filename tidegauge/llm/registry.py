@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import decontaminate
+from tidegauge.llm import decontaminate, language, sharding
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -18,3 +18,6 @@ def _on_documents(f):
 
 QUERIES["op2_decontaminate"] = lambda spark, sf_dir: decontaminate.overlap_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 ORACLE_SQL["op2_decontaminate"] = decontaminate.ORACLE
+QUERIES["op4_language"] = _on_documents(language.language_report)
+QUERIES["op9_shards"] = _on_documents(sharding.shard_report)
+ORACLE_SQL["op9_shards"] = sharding.ORACLE
