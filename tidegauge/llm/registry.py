@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import decontaminate, language, sharding
+from tidegauge.llm import decontaminate, fingerprint, language, sharding
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -21,3 +21,4 @@ ORACLE_SQL["op2_decontaminate"] = decontaminate.ORACLE
 QUERIES["op4_language"] = _on_documents(language.language_report)
 QUERIES["op9_shards"] = _on_documents(sharding.shard_report)
 ORACLE_SQL["op9_shards"] = sharding.ORACLE
+QUERIES["op7_fingerprint"] = _on_documents(fingerprint.edit_report)
