@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import decontaminate, fingerprint, language, sharding
+from tidegauge.llm import decontaminate, fingerprint, language, license, sharding
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -22,3 +22,4 @@ QUERIES["op4_language"] = _on_documents(language.language_report)
 QUERIES["op9_shards"] = _on_documents(sharding.shard_report)
 ORACLE_SQL["op9_shards"] = sharding.ORACLE
 QUERIES["op7_fingerprint"] = _on_documents(fingerprint.edit_report)
+QUERIES["op3_license"] = _on_documents(license.license_report)
