@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import decontaminate, fingerprint, language, license, sharding
+from tidegauge.llm import decontaminate, fingerprint, language, license, pii, sharding
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -23,3 +23,4 @@ QUERIES["op9_shards"] = _on_documents(sharding.shard_report)
 ORACLE_SQL["op9_shards"] = sharding.ORACLE
 QUERIES["op7_fingerprint"] = _on_documents(fingerprint.edit_report)
 QUERIES["op3_license"] = _on_documents(license.license_report)
+QUERIES["op1_pii"] = _on_documents(pii.pii_report)
