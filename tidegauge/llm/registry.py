@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import decontaminate, fingerprint, language, license, pii, sharding
+from tidegauge.llm import decontaminate, fingerprint, language, license, pii, sharding, substrings
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -24,3 +24,5 @@ ORACLE_SQL["op9_shards"] = sharding.ORACLE
 QUERIES["op7_fingerprint"] = _on_documents(fingerprint.edit_report)
 QUERIES["op3_license"] = _on_documents(license.license_report)
 QUERIES["op1_pii"] = _on_documents(pii.pii_report)
+QUERIES["op8_substrings"] = _on_documents(substrings.repeat_report)
+ORACLE_SQL["op8_substrings"] = substrings.ORACLE
