@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import decontaminate, fingerprint, language, license, near_dedup, pii, sharding, substrings
+from tidegauge.llm import decontaminate, fingerprint, language, license, near_dedup, pii, sentencepiece_sampling, sharding, substrings
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -27,3 +27,4 @@ QUERIES["op1_pii"] = _on_documents(pii.pii_report)
 QUERIES["op8_substrings"] = _on_documents(substrings.repeat_report)
 ORACLE_SQL["op8_substrings"] = substrings.ORACLE
 QUERIES["op6_near_dedup"] = _on_documents(near_dedup.near_report)
+QUERIES["op10_sentencepiece"] = _on_documents(sentencepiece_sampling.sampling_report)
