@@ -10,16 +10,18 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+import zlib
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidegauge.llm._exchange import tidy
 from tidegauge.llm._frames import add_columns, written
 from tidegauge.llm._order import cut_points, order_key, run_of, text_stats
 
 #: Bytes of text in a run of neighbouring ids.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
 
 
 def canonical(text: str) -> str:
@@ -37,7 +39,7 @@ def _digests(texts: pa.Array) -> list[pa.Array]:
 
 
 def settle(rows: DataFrame, digest_col: str, text_col: str) -> DataFrame:
-    """rows with digests made unequal where the canonical texts (bytes, null if no other row has the digest) differ.
+    """rows with digests made unequal where the canonical texts (bytes, plain or packed alike; null if no other row has the digest) differ.
 
     Least and greatest text of each digest are taken on both sides of the shuffle, so copies don't meet in one task.
     """
@@ -108,7 +110,7 @@ def _edit(batches):
             text = text or ""
             if held is not None:
                 row = finish(held[1], text)
-                keep = row[-1] if held[0] in shared else None
+                keep = zlib.compress(row[-1], 1) if held[0] in shared else None  # equal if and only if the texts are
                 shared.discard(held[0]) if held[0] != doc else None
                 out.append((held[0], *row[:-1], keep))
                 size += len(keep or b"") + 300
@@ -129,6 +131,11 @@ def edit_report(docs: DataFrame) -> DataFrame:
     a single document is its own next.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with tidy(docs.sparkSession):
+        return _edit_report(docs)
+
+
+def _edit_report(docs: DataFrame) -> DataFrame:
     digests = written(add_columns(docs, ["text"], "fingerprint string", lambda: _digests, drop=("text",)))
     n_runs = max(1, -(-text_stats(docs, "text")[1] // RUN_BYTES))
     cuts = cut_points(digests, "doc_id", n_runs)
@@ -148,6 +155,6 @@ def edit_report(docs: DataFrame) -> DataFrame:
     else:
         rows = own.select("run", F.lit(0).alias("tail"), "ord", "id", "flag", "text")
     rows = rows.unionByName(flags)
-    rows = rows.repartition(max(n_runs, 1), "run").sortWithinPartitions("run", "tail", "ord", F.col("flag").desc(), "text")
+    rows = rows.repartition(2 * n_runs, "run").sortWithinPartitions("run", "tail", "ord", F.col("flag").desc(), "text")
     done = written(rows.mapInArrow(_edit, _EDITED.format(kind="long")))
     return settle(done, "fingerprint", "canonical").drop("canonical")
