@@ -70,7 +70,7 @@ def time_bucket(width: str | Width, ts: str | Column, tz: str | None = None) ->
         return F.from_utc_timestamp(F.convert_timezone(F.lit(tz), F.lit("UTC"), time_bucket(w, local)).cast("timestamp"), F.current_timezone())
     if w.months:
         if w.months == 1:
-            return F.date_trunc("month", t).cast(_kind(t))
+            return F.date_trunc("month", t).cast("timestamp_ntz")
         n = (F.year(t) - 2000) * 12 + F.month(t) - 1
         first = n - F.pmod(n, F.lit(w.months))
         return F.make_date(2000 + F.floor(first / 12).cast("int"), (F.pmod(first, F.lit(12)) + 1).cast("int"), F.lit(1)).cast("timestamp_ntz")
@@ -78,5 +78,10 @@ def time_bucket(width: str | Width, ts: str | Column, tz: str | None = None) ->
     return F.window(t, w.interval(), w.interval(), start).getField("start")
 
 
-def _kind(_: Column) -> str:
-    return "timestamp_ntz"
+def bucket_start(width: str | Width, ts: str | Column) -> Column:
+    """As time_bucket without a zone, by arithmetic; a projection may hold many of these, but only one of those."""
+    w, t = parse_width(width), _column(ts)
+    if w.months:
+        return time_bucket(w, t)
+    since = F.timestamp_diff("MICROSECOND", F.lit(ORIGIN).cast("timestamp_ntz"), t)
+    return F.timestamp_add("MICROSECOND", -F.pmod(since, F.lit(w.micros)), t)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -22,8 +23,21 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+def table(spark, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql(name: str, text: str, oracle: str | None = None) -> None:
+    """Register a query in Spark SQL; {events} stands for that table. The oracle is the same text unless it is given."""
+
+    def f(spark, sf_dir):
+        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", text))})
+
+    query(name, re.sub(r"\{(\w+)\}", r"\1", oracle or text))(f)
+
+
 def load_all() -> None:
-    from tidegauge.plans import candles  # noqa: F401
+    from tidegauge.plans import basics, candles, incremental, joined, series  # noqa: F401
 
 
 load_all()
