@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import decontaminate, fingerprint, language, license, near_dedup, pii, sentencepiece_sampling, sharding, substrings
+from tidegauge.llm import decontaminate, fingerprint, language, license, near_dedup, pii, sentencepiece_sampling, sharding, substrings, warc_audit
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -28,3 +28,5 @@ QUERIES["op8_substrings"] = _on_documents(substrings.repeat_report)
 ORACLE_SQL["op8_substrings"] = substrings.ORACLE
 QUERIES["op6_near_dedup"] = _on_documents(near_dedup.near_report)
 QUERIES["op10_sentencepiece"] = _on_documents(sentencepiece_sampling.sampling_report)
+QUERIES["op5_warc_audit"] = lambda spark, sf_dir: warc_audit.audit_report(_table(spark, sf_dir, "pages"))
+ORACLE_SQL["op5_warc_audit"] = warc_audit.ORACLE
