@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests import oracle
 from tests.llm import brute
-from tidegauge.llm import decontaminate, fingerprint, language, license as lic, near_dedup, pii, registry, sentencepiece_sampling as sps, sharding, substrings
+from tidegauge.llm import decontaminate, fingerprint, language, license as lic, near_dedup, pii, registry, sentencepiece_sampling as sps, sharding, substrings, warc_audit
 
 
 def rows(df):
@@ -254,3 +254,51 @@ def test_round_trip(spark, odd, docs):
     assert all(r["n_tokens"] == len(r["ids"]) and r["log_prob"] <= 1e-9 and r["log_inclusion"] <= 0 for r in decoded)
     again = sps.sample_segmentations(both.repartition(3)).select("doc_id", F.explode("draws").alias("d")).select("doc_id", "d.ids_sha256", "d.draw")
     assert rows(again) == rows(got.select("doc_id", "ids_sha256", "draw"))
+
+
+def _index(spark, files):
+    r = [(f, k, c) for f, rows_ in files.items() for k, c in rows_]
+    return warc_audit.lay_out(spark.createDataFrame(r, "file long, record_id long, content string"))
+
+
+def test_audit(spark):
+    a = {f: [(i, f"record {f} {i} " * (1 + i % 3)) for i in range(n)] for f, n in ((0, 300), (1, 40), (2, 1), (3, 17))}
+    b = {f: list(x) for f, x in a.items()}
+    b[0][123] = (123, b[0][123][1].replace("r", "R"))
+    b[1] = b[1][:30] + b[1][31:]
+    del b[3]
+    b[4] = [(1, "new")]
+    got = {(r["file"], r["name"]): r["status"] for r in warc_audit.audit(_index(spark, a), _index(spark, b)).collect()}
+    lost = sorted((x[0] for x in a[1]))[30]
+    want = {(0, "123"): "changed", (1, str(lost)): "missing", (4, "1"): "extra"} | {(1, str(k)): "moved" for k, _ in b[1] if k > lost} | {(3, str(k)): "missing" for k, _ in a[3]}
+    assert got == want
+    assert warc_audit.audit(_index(spark, a), _index(spark, a)).count() == 0
+    assert warc_audit.audit(_index(spark, a).limit(0), _index(spark, a).limit(0)).count() == 0
+    twice = {0: [(1, "a"), (1, "a"), (1, "b"), (None, "n")]}
+    assert sorted(r["name"] for r in _index(spark, twice).collect()) == ["", "1", "1#2", "1#3"]
+
+
+def test_descent_reads_only_bad_branches(spark):
+    a = warc_audit.tree(_index(spark, {0: [(i, str(i)) for i in range(600)], 1: [(1, "x")]}), 3)
+    b = warc_audit.tree(_index(spark, {0: [(i, str(i) if i != 77 else "no") for i in range(600)], 1: [(1, "x")]}), 3)
+    assert [(r["file"], r["idx"]) for r in warc_audit._differ(a[-1], b[-1]).collect()] == [(0, 0)]
+    assert [(r["file"], r["idx"]) for r in warc_audit._differ(a[1], b[1]).collect()] == [(0, 77 // 16)]
+    assert [tuple(r) for r in warc_audit.descend(a, b).collect()] == [(0, 77)]
+
+
+def test_audit_nulls(spark):
+    p = spark.createDataFrame([(None, None, None, 1), (5, "u", None, 2), (5, "u", None, 3), (11, None, "é", 4)], "page_id long, url string, html string, digest int")
+    got = rows(warc_audit.audit_report(p).select("page_id", "status"))
+    assert got == sorted([(None, "ok"), (5, "changed"), (5, "changed"), (11, "missing")], key=str)
+    assert warc_audit.audit_report(p.limit(0)).count() == 0
+
+
+def test_warc_files(spark, small, tmp_path):
+    pages = spark.read.parquet(f"{small}/pages.parquet").orderBy("page_id").limit(20)
+    made = [r["content"].encode() for r in warc_audit.page_records(pages).orderBy("record_id").collect()]
+    (tmp_path / "a.warc").write_bytes(b"".join(made))
+    found = list(warc_audit.parse(b"".join(made)))
+    assert [x[3] for x in found] == made and found[1][0] == len(made[0])
+    index = warc_audit.read_index(spark, str(tmp_path))
+    assert sorted(r["digest"] for r in index.collect()) == sorted(hashlib.sha256(m).hexdigest() for m in made)
+    assert list(warc_audit.parse(b"junk")) == [(0, 4, "", b"junk")] and list(warc_audit.parse(b"")) == []

@@ -101,7 +101,7 @@ def shard_report(docs: DataFrame) -> DataFrame:
 ORACLE = """
 WITH t AS (SELECT list_transform(range(16), lambda n: list_reduce([n, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
 b AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 8 AS size, md5(coalesce(text, '')) AS h FROM documents),
-c AS (SELECT *, hex(encode(text)) AS x FROM b),
+c AS (SELECT *, string_split(hex(encode(text)), '') AS x FROM b),
 crc AS (SELECT c.*, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(2 * (size - 8)), lambda i: (strpos('0123456789ABCDEF', x[(xor(i, 1) + 1)::BIGINT]) - 1)::BIGINT)),
   lambda a, v: xor(a // 16, tab[xor(a % 16, v) + 1]))) AS text_crc32 FROM c, t),
 o AS (SELECT *, sum(size) OVER (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS off, row_number() OVER (ORDER BY h, doc_id NULLS FIRST) AS row, sum(size) OVER () AS total FROM crc),
