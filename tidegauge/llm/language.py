@@ -132,7 +132,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from rows with a text and a language whose id doesn't belong to the held out quarter; None if there are none."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (_remainder(id_col) != 2))
     key = F.xxhash64(F.col(id_col), F.lit(11))
-    ids = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), key.alias("__h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return None
+    # the smallest hashes are among those below a cut that leaves about 4 * sample rows of each language, so no task ranks more
+    cut = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 4 * sample / n))])
+    low = F.pmod(key, F.lit(1 << 40)) < F.element_at(cut, F.col(lang_col)) * (1 << 40)
+    ids = rows.where(low).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.pmod(key, F.lit(1 << 40)).alias("__h"))
     ids = ids.withColumn("__n", F.row_number().over(Window.partitionBy("__lang").orderBy("__h", "__id"))).where(F.col("__n") <= sample)
     # `sample` ids of each language: small enough to send to all
     own = rows.join(F.broadcast(ids.select("__id").distinct()), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
