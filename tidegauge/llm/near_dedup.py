@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.llm import _exchange as X
 from tidegauge.llm._components import components
-from tidegauge.llm._frames import add_columns, written
+from tidegauge.llm._frames import add_columns, spread, written
 from tidegauge.llm._text import LOWER, NOT_SPACE, grams, mix, slices, tokenise
 
 SHINGLE = 5
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         counts = written(groups.applyInArrow(_send_pairs(n), X.ASKED).groupBy("bucket").applyInArrow(_count_pairs, X.ANSWERED))
         posts = written(groups.cogroup(counts.groupBy("run")).applyInArrow(_post(n), "pair long, rep long"))
         least = posts.groupBy("pair").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v < last").select("pair", "v")
-        hoods = components(posts.join(least, "pair").select(F.col("rep").alias("u"), "v"))
+        hoods = components(posts.join(spread(least), "pair").select(F.col("rep").alias("u"), "v"))
         hoods = written(hoods.unionByName(hoods.select(F.col("component").alias("id"), "component").distinct()).select(F.col("id").alias("rep"), F.col("component").alias("hood")))
         sized = hoods.join(classes.select("rep", "n"), "rep").groupBy("hood").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.col("n") * 8) / BLOCK_BYTES)).cast("int").alias("blocks"))
         placed = hoods.join(sized, "hood").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
