@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -11,6 +13,31 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
+#: Bytes of the first input column that are worked on at once; a longer value makes a part of its own.
+PART_BYTES = 4 << 20
+
+
+def trim() -> None:
+    """Give memory that is free back to the machine: workers live on and would keep their largest."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes.CDLL(None), "malloc_trim"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch, cut by the bytes of a column if it is of texts."""
+    c = batch.column(batch.schema.get_field_index(column))
+    if not (pa.types.is_string(c.type) or pa.types.is_large_string(c.type)) or c.nbytes <= PART_BYTES:
+        yield batch
+        return
+    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + PART_BYTES, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def add_columns(df: DataFrame, inputs: list[str], fields: str, make: Callable[[], Callable], drop: tuple[str, ...] = ()) -> DataFrame:
     """df with new columns; a new column replaces one of the same name.
 
@@ -24,10 +51,12 @@ def add_columns(df: DataFrame, inputs: list[str], fields: str, make: Callable[[]
 
     def run(batches):
         f = make()
-        for b in batches:
-            made = f(*[b.column(b.schema.get_field_index(n)) for n in inputs])
-            own = [b.column(b.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays([*own, *made], names=[*names, *new.fieldNames()])
+        for batch in batches:
+            for b in parts(batch, inputs[0]):
+                made = f(*[b.column(b.schema.get_field_index(n)) for n in inputs])
+                own = [b.column(b.schema.get_field_index(n)) for n in names]
+                yield pa.RecordBatch.from_arrays([*own, *made], names=[*names, *new.fieldNames()])
+        trim()
 
     return used.mapInArrow(run, T.StructType([*keep, *new.fields]))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.llm import _exchange as X
-from tidegauge.llm._frames import written
+from tidegauge.llm._frames import trim, written
 from tidegauge.llm._order import cut_points, order_key, run_of, text_stats
 from tidegauge.llm._text import NOT_SPACE, grams, join_words, mix, slices, tokenise, within
 
@@ -33,6 +33,7 @@ class _Chunk:
     """Words of the documents of one chunk in order of id."""
 
     def __init__(self, table: pa.Table):
+        trim()  # what the chunk before has left
         table = table.sort_by([("ord", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
         self.ids, self.texts = table.column("id"), table.column("text")
         parts = []
@@ -81,6 +82,7 @@ def _probe(n: int):
 
 def _meet(key, table):
     """Which hashes stand in more than one place, one of them a block."""
+    trim()
     sent = table.column("sent").to_pylist()
     code = [X.unpack(x, 5, 0, 5) for x in sent]
     size = np.cumsum([0, *map(len, code)])
@@ -111,6 +113,7 @@ def _compare(n: int):
 
 def _earlier(key, table):
     """Which sequences stand in a chunk before."""
+    trim()
     sent, run = table.column("sent").to_pylist(), table.column("run").to_numpy()
     size = np.array([len(x) // 12 for x in sent])
     k = np.concatenate([X.unpack(x, 8, 0, 12) for x in sent])
