@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 #: Shared folder for checkpoints where the session names none, as in tests.
@@ -30,7 +31,7 @@ def parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     if not (pa.types.is_string(c.type) or pa.types.is_large_string(c.type)) or c.nbytes <= PART_BYTES:
         yield batch
         return
-    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    size = np.cumsum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i = 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + PART_BYTES, "right")))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,7 +29,7 @@ def _groups(h: pa.Array) -> np.ndarray:
         return np.zeros(0, np.int64)
     if len(h) == 1:
         return np.zeros(1, np.int64)
-    changed = pa.compute.not_equal(h.slice(1), h.slice(0, len(h) - 1)).to_numpy(zero_copy_only=False)
+    changed = pc.not_equal(h.slice(1), h.slice(0, len(h) - 1)).to_numpy(zero_copy_only=False)
     return np.concatenate([[0], np.flatnonzero(changed) + 1])
 
 
