@@ -5,9 +5,9 @@ proportional to the product of its pieces' weights. A piece's weight falls with
 sums over the lattice give each arc its probability given that its start is reached.
 
 K distinct paths are drawn by perturbed A*: every path has its log probability and Gumbel noise, and those of the
-largest sums are wanted. The search goes from the start of the lattice downward. A node's children share its maximum: the
-child that attains it goes on, the others get the maxima of what lies below them, given that they are smaller, and wait; the
-largest that waits is taken next. The (K+1)-th largest sum, kappa, gives the chance of a path to be drawn: 1 - exp(-exp(log p - kappa)).
+largest sums are wanted. The search goes from the start of the lattice downward. A node's maximum is that of one of its children,
+each with its probability: that child goes on, the others get the maxima of what lies below them, given that they are smaller, and
+wait; the largest that waits is taken next. The (K+1)-th largest sum, kappa, gives the chance of a path to be drawn: 1 - exp(-exp(log p - kappa)).
 
 No piece reaches over the start of a run of spaces, so a document's lattice is a chain of the lattices of its units (a run of
 spaces and what follows). Lattices are built once for each distinct unit of a slice, and all units of a slice walk at once.
@@ -30,10 +30,10 @@ from tidegauge.llm._text import mix, powers
 #: Segmentations drawn of each text.
 DRAWS = 2
 SEED = 17
-#: Bytes of text in a slice.
-SLICE = 1 << 20
+#: Characters of text in a slice.
+SLICE = 1 << 19
 #: Units whose alternatives are looked at first. Noise is bounded, so no alternative beyond a point can be among the largest.
-EARLY, BOUND = 96, 80.0
+EARLY, BOUND = 16, 40.0
 
 _SPACE = 0x2581
 _EMPTY = np.int64(-1)
@@ -116,6 +116,11 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1, neither included, from hashes."""
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
 def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For ragged ranges: the range of each element, the element, and where each range begins."""
     begin = np.cumsum(count) - count
@@ -152,31 +157,36 @@ class Lattice:
         c = chars[self.src]
         width = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
         w = np.where(self.piece >= 0, v.weight[self.piece], v.byte_weight * width)
-        # backward sums, from the ends of the units on: arcs by the distance of their start from its unit's end
-        order = np.lexsort((self.size, self.src, (end - np.arange(n))[self.src]))
-        s, dst, w = self.src[order], self.src[order] + self.size[order], w[order]
+        # arcs by the distance of their start from its unit's end, then by start, long ones first: starts stay together, and backward sums go through from left to right
+        level = end - np.arange(n)
+        longest = int(self.size.max()) + 1 if len(self.size) else 1
+        order = np.argsort((level[self.src] * np.int64(n + 1) + self.src) * longest + (longest - 1 - self.size))
+        self.src, self.size, self.piece, w = self.src[order], self.size[order], self.piece[order], w[order]
+        dst = self.src + self.size
+        self.lp = np.empty(len(w))
+        self.arcs = np.bincount(self.src, minlength=n)
+        new = np.concatenate([[0], np.flatnonzero(self.src[1:] != self.src[:-1]) + 1]) if n else np.zeros(0, np.int64)
+        heads = self.src[new]
+        self.begin = np.zeros(n, np.int64)
+        self.begin[heads] = new
         beta = np.zeros(n + 1)
-        new = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1]) if len(s) else np.zeros(0, np.int64)
-        count = np.diff(np.append(new, len(s)))
-        level = (end - np.arange(n))[s[new]] if n else new
-        edges = np.concatenate([[0], np.flatnonzero(level[1:] != level[:-1]) + 1, [len(level)]]) if n else [0]
-        lp = np.empty(len(s))
-        last = end[s] == dst
+        last = end[self.src] == dst if n else np.zeros(0, bool)
+        depth = level[heads]
+        edges = np.concatenate([[0], np.flatnonzero(depth[1:] != depth[:-1]) + 1, [len(depth)]]) if n else [0]
+        bound = np.append(new, len(w))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            i, j = new[a], new[b - 1] + count[b - 1]
+            i, j = bound[a], bound[b]
             x = w[i:j] + np.where(last[i:j], 0.0, beta[dst[i:j]])
-            start, many = new[a:b] - i, count[a:b]
+            start, many = new[a:b] - i, bound[a + 1 : b + 1] - bound[a:b]
             top = np.maximum.reduceat(x, start)
             total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, many)), start))
-            beta[s[new[a:b]]] = total
-            lp[i:j] = x - np.repeat(total, many)
-        self.lp = np.empty(len(s))
-        self.lp[order] = lp
-        by = np.lexsort((self.size, self.src))
-        self.src, self.size, self.piece, self.lp = self.src[by], self.size[by], self.piece[by], np.minimum(self.lp[by], 0.0)
-        self.inverse = np.exp(-self.lp)
-        self.arcs = np.bincount(self.src, minlength=n)
-        self.begin = np.cumsum(self.arcs) - self.arcs
+            beta[heads[a:b]] = total
+            self.lp[i:j] = x - np.repeat(total, many)
+        np.minimum(self.lp, 0.0, out=self.lp)
+        p = np.exp(self.lp)
+        sums = np.cumsum(p)
+        self.cdf = sums - np.repeat(sums[new] - p[new], np.diff(bound)) if n else sums
+        self.cdf[bound[1:] - 1] = 2.0
         self.end, self.chars, self.first = end, chars, first
 
 
@@ -217,45 +227,42 @@ class _Slice:
         self.index = np.arange(len(at)) - self.first[self.doc]
         self._flat: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # ids by path, filled as asked for
 
-    def walk(self, draw: np.ndarray, occ: np.ndarray, pos: np.ndarray, step: np.ndarray, early: np.ndarray):
-        """Let the units occ walk on from positions pos to their ends, their next arcs being number step.
+    def walk(self, draw: np.ndarray, occ: np.ndarray, pos: np.ndarray, step: np.ndarray) -> list[np.ndarray]:
+        """Let the units occ walk on from positions pos to their ends, their next arcs being number step: (unit, step, arc) of what is drawn.
 
-        Returns (unit, step, arc) of what is drawn, and of units marked early all arcs looked at: unit, step, arc, perturbed log probability given the node, and whether it was drawn.
+        A node's maximum falls to each child with the child's probability, whatever its value.
         """
         lat = self.lattice
-        base = mix(self.keys[self.doc[occ]] ^ mix((draw[self.doc[occ]].astype(np.uint64) << np.uint64(40)) + self.index[occ].astype(np.uint64), 2), 4)
-        go = np.flatnonzero(pos < lat.end[np.minimum(lat.first[self.unit[occ]], len(lat.end) - 1)])
-        drawn, seen = [], []
-        end = lat.first[self.unit[occ] + 1]
-        pos, step, offset = pos.copy(), step.copy(), lat.first[self.unit[occ]]
+        base = self._noise(draw, occ, 2)
+        offset, end = lat.first[self.unit[occ]], lat.first[self.unit[occ] + 1]
+        pos, step = pos.copy(), step.copy()
+        go = np.flatnonzero(pos < end)
+        drawn = []
         while len(go):
             p = pos[go]
-            of, arc, begin = _spread(lat.begin[p], lat.arcs[p])
-            place = ((p - offset[go]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[of] + lat.size[arc].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-            x = mix(base[go][of] + place)
-            race = -np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * lat.inverse[arc]
-            least = np.minimum.reduceat(race, begin)
-            won = np.flatnonzero(race == least[of])
-            if len(won) > len(go):
-                won = won[np.concatenate([[True], of[won][1:] != of[won][:-1]])]
-            drawn.append((occ[go], step[go], arc[won]))
-            look = early[go][of]
-            if look.any():
-                took = np.zeros(len(arc), bool)
-                took[won] = True
-                seen.append((occ[go][of[look]], step[go][of[look]], arc[look], -np.log(race[look]), took[look]))
-            pos[go] += lat.size[arc[won]]
+            arc = lat.begin[p]
+            left = np.flatnonzero(lat.arcs[p] > 1)
+            u = _uniform(mix(base[go[left]] + (p[left] - offset[go[left]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            while len(left):
+                on = u >= lat.cdf[arc[left]]
+                left, u = left[on], u[on]
+                arc[left] += 1
+            drawn.append((occ[go], step[go], arc))
+            pos[go] += lat.size[arc]
             step[go] += 1
             go = go[pos[go] < end[go]]
-        cat = lambda rows, k: [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * k
-        return cat(drawn, 3), cat(seen, 5)
+        return [np.concatenate(c) for c in zip(*drawn, strict=True)] if drawn else [np.zeros(0, np.int64)] * 3
+
+    def _noise(self, draw: np.ndarray, occ: np.ndarray, salt: int) -> np.ndarray:
+        d = self.doc[occ]
+        return mix(self.keys[d] ^ mix((draw[d].astype(np.uint64) << np.uint64(40)) + self.index[occ].astype(np.uint64), salt), 4)
 
     def draw(self, k: int) -> list[list[tuple[int, float, float]]]:
         """For each document its draws, as (number of the path, log probability, perturbed log probability), and last the kappa in place of a draw."""
         n = len(self.first) - 1
         lat = self.lattice
         none = np.zeros(n, np.int64)
-        gumbel = -np.log(-np.log(((mix(self.keys, 6) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53))
+        gumbel = -np.log(-np.log(_uniform(mix(self.keys, 6))))
         out: list[list] = [[] for _ in range(n)]
         waiting: list[list] = [[] for _ in range(n)]  # (perturbed, path, unit, step, arc, log probability with it)
         self.paths: list[_Path] = []
@@ -276,8 +283,7 @@ class _Slice:
             at[begin[branch]] = step[branch] + 1
             draws = none.copy()
             draws[docs] = number
-            reach = np.full(len(docs), EARLY)
-            (u, s, a), seen = self.walk(draws, occ, pos, at, (np.arange(len(occ)) - begin[of]) < reach[of])
+            u, s, a = self.walk(draws, occ, pos, at)
             # the path: what it has of its parent, the arc at which it leaves, what is drawn
             count = np.zeros(len(self.unit), np.int64)
             count += np.bincount(u, minlength=len(count))
@@ -303,7 +309,7 @@ class _Slice:
             total = lp[edge[self.first[docs + 1]]] - lp[edge[self.first[docs]]]
             for i, d in enumerate(docs.tolist()):
                 out[d].append((number, float(total[i]), float(g[i])))
-            self._alternatives(number, docs, g, unit, path, lp, edge, seen, waiting, k, draws, occ, pos, at, of, begin)
+            self._alternatives(number, docs, g, unit, np.where(branch, step + 1, 0), path, lp, edge, waiting, k, draws)
             origin = {}
             for d in docs.tolist():
                 if waiting[d]:
@@ -316,48 +322,51 @@ class _Slice:
                     out[d].append(-math.inf)
         return out
 
-    def _alternatives(self, number, docs, g, unit, path, lp, edge, seen, waiting, k, draws, occ, pos, at, of, begin):
-        """Put the k largest alternatives along each new path on the documents' lists."""
-        lat, reach = self.lattice, EARLY
-        left = np.arange(len(docs))
+    def _alternatives(self, number, docs, g, unit, step, path, lp, edge, waiting, k, draws):
+        """Put the k largest alternatives along each new path, from a unit and step on, on the documents' lists.
+
+        The children that don't attain their node's maximum have independent noise, cut off at that maximum.
+        """
+        lat, left, low, reach = self.lattice, np.arange(len(docs)), 0, EARLY
+        limit = np.full(len(docs), -np.inf)  # what a value must be over, once k are known
+        for i, d in enumerate(docs.tolist()):
+            limit[i] = waiting[d][k - 1][0] if len(waiting[d]) >= k else -np.inf
         while len(left):
-            u, s, a, z, took = seen
-            row = np.searchsorted(docs, self.doc[u])
-            before = lp[path.begin[u] + s] - lp[edge[self.first[docs[row]]]]
-            node = path.begin[u] + s
-            top = np.zeros(len(path.arcs))
-            top[node[took]] = z[took]
-            side = ~took
-            row, before, node, z, u, s, a = row[side], before[side], node[side], z[side], u[side], s[side], a[side]
-            mine, best = before + z, before + top[node]
-            gap = np.minimum(mine - best, -1e-300)
-            low = np.where(gap > -0.6931, np.log(-np.expm1(gap)), np.log1p(-np.exp(gap)))
-            x = g[row] - mine + low
-            value = g[row] - np.maximum(x, 0) - np.log1p(np.exp(-np.abs(x)))
+            close = self.first[docs[left] + 1]
+            begin = np.where(low == 0, path.begin[unit[left]] + step[left], edge[np.minimum(unit[left] + low, close)])
+            stop = edge[np.minimum(unit[left] + reach, close)]
+            row, node, _ = _spread(begin, stop - begin)
+            chosen = path.arcs[node]
+            p = lat.src[chosen]
+            of, arc, _ = _spread(lat.begin[p], lat.arcs[p])
+            side = arc != chosen[of]
+            of, arc = of[side], arc[side]
+            row = left[row]
+            u = np.searchsorted(path.begin, node, "right") - 1
+            base = self._noise(draws, u, 8) + (p - lat.first[self.unit[u]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            before = lp[node] - lp[edge[self.first[docs[row]]]]
+            x = _uniform(mix(base[of] + lat.size[arc].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+            after = before[of] + lat.lp[arc]
+            may = x >= np.exp(-np.exp(np.minimum(after - limit[row][of], 50.0)))
+            of, arc, x, after = of[may], arc[may], x[may], after[may]
+            row, node, u = row[of], node[of], u[of]
+            value = -np.logaddexp(-g[row], -(after - np.log(-np.log(x))))
             order = np.lexsort((-value, row))
             rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
-            order = order[rank < k]
-            found: dict[int, list] = {}
-            for i in order.tolist():
-                found.setdefault(int(row[i]), []).append((float(value[i]), number, int(u[i]), int(s[i]), int(a[i]), float(before[i] + lat.lp[a[i]])))
-            open_ = []
-            for r in left.tolist():
-                d, mine_ = int(docs[r]), found.get(r, [])
-                stop = int(unit[r]) + reach
-                if stop < self.first[d + 1]:
-                    beyond = lp[edge[stop]] - lp[edge[self.first[d]]] + BOUND
-                    every = sorted([v[0] for v in waiting[d] + mine_], reverse=True)
-                    if len(every) < k or beyond > every[k - 1]:
-                        open_.append(r)
-                        continue
-                waiting[d].extend(mine_)
-            left = np.array(open_, np.int64)
-            if len(left):
-                reach *= 8
-                again = np.isin(of, left)
-                place = (np.arange(len(occ)) - begin[of])[again]
-                again = np.flatnonzero(again)[place < reach]
-                _, seen = self.walk(draws, occ[again], pos[again], at[again], np.ones(len(again), bool))
+            met = set()
+            for i in order[rank < k].tolist():
+                r = int(row[i])
+                met.add(r)
+                waiting[docs[r]].append((float(value[i]), number, int(u[i]), int(node[i] - path.begin[u[i]]), int(arc[i]), float(after[i])))
+            for r in met:
+                best = waiting[docs[r]]
+                best.sort(reverse=True)
+                del best[k:]
+                limit[r] = best[-1][0] if len(best) == k else -np.inf
+            last = np.minimum(unit[left] + reach, close)
+            beyond = lp[edge[last]] - lp[edge[self.first[docs[left]]]] + BOUND
+            left = left[(last < close) & (beyond > limit[left])]
+            low, reach = reach, reach * 8
 
     def ids(self, number: int, d: int) -> np.ndarray:
         """Piece ids of a document's draw."""
