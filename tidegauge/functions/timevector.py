@@ -25,7 +25,8 @@ def sort(v: Column) -> Column:
 
 def delta(v: Column) -> Column:
     """Each value less the one before, one point fewer."""
-    return F.filter(F.transform(v, lambda x, i: F.struct(x["time"].alias("time"), F.when(i > 0, x["value"] - F.get(v, i - 1)["value"]).alias("value"), i.alias("i"))), lambda x: x["i"] > 0)
+    n = F.greatest(F.size(v) - 1, F.lit(0))
+    return F.zip_with(F.slice(v, F.lit(2), n), F.slice(v, F.lit(1), n), lambda b, a: F.struct(b["time"].alias("time"), (b["value"] - a["value"]).alias("value")))
 
 
 def absolute(v: Column) -> Column:
