@@ -44,6 +44,18 @@ def test_pii(spark, texts):
         assert set(base.split(",")) <= set(g["spans"].split(","))
 
 
+def test_pii_card_of_parted_digits(spark):
+    """A card whose digits never stand side by side, by spaces and by hyphens, and one that fails Luhn."""
+    card = "4" + "1" * 15
+    t = [f"card {' '.join(card)} please", f"card {'-'.join(card)} please", f"card {' '.join(card[:-1])} 2 please", "1 2-3"]
+    d = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pii_report(d).collect()}
+    for i, x in enumerate(t):
+        base = ",".join(f"{k}:{s}:{e}" for s, _, e, k in brute.pii(x))
+        assert got[i]["base_sha256"] == brute.sha(base) and got[i]["n_card"] == (i < 2)
+    assert [r["text"] for r in pii.redact(d).orderBy("doc_id").collect()] == ["card [CARD] please"] * 2 + t[2:]
+
+
 def test_pii_judged_and_redacted(spark):
     t = ["call me at 408-555-7800 order 408-555-7800", "SSN: 123-45-6789", "write a@b.co or +1 (408) 555-7800.", "nothing here, 12 of 34"]
     d = spark.createDataFrame([(i, x, 5) for i, x in enumerate(t)], "doc_id long, text string, spans int")

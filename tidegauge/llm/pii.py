@@ -58,12 +58,11 @@ def _matches(df: DataFrame, text: str, kinds: dict[str, str]) -> DataFrame:
     """Columns __m_<kind> and __p_<kind>: what matches, and the pieces of the text between."""
     t = F.col(text)
     none = F.array().cast("array<string>")
-    digits = t.rlike("[0-9]{2}")
-    df = df.withColumn("__digits", digits)
+    df = df.withColumns({"__digits": t.rlike("[0-9]{2}"), "__parted": t.rlike(r"[0-9][\x20-]?[0-9]")})
     for k, pattern in kinds.items():
-        guard = t.contains(_GUARD[k]) if k in _GUARD else F.lit(True) if k == "secret" else t.rlike("[0-9]\\.[0-9]") if k == "ip" else F.col("__digits")
+        guard = t.contains(_GUARD[k]) if k in _GUARD else F.lit(True) if k == "secret" else t.rlike("[0-9]\\.[0-9]") if k == "ip" else F.col("__parted" if k == "card" else "__digits")
         df = df.withColumn(f"__m_{k}", F.when(guard, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
-    return df.withColumns({f"__p_{k}": F.when(F.size(f"__m_{k}") > 0, F.split(t, pattern, -1)).otherwise(none) for k, pattern in kinds.items()}).drop("__digits")
+    return df.withColumns({f"__p_{k}": F.when(F.size(f"__m_{k}") > 0, F.split(t, pattern, -1)).otherwise(none) for k, pattern in kinds.items()}).drop("__digits", "__parted")
 
 
 def _located(k: str) -> Column:
