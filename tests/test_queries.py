@@ -1,5 +1,7 @@
 """Every query of the engine itself against its oracle, or for rows only where it has none."""
 
+from datetime import datetime as D
+
 import pytest
 
 from tests import oracle
@@ -20,6 +22,14 @@ def test_query(spark, small, duck, name):
         assert len(got)
 
 
+def test_candle_times_of_all_events(spark, tmp_path):
+    """Values that occur more than once count, and the least time of the highest value is taken."""
+    at = [D(2024, 1, 1, h) for h in (9, 10, 11, 12)]
+    spark.createDataFrame(list(zip(at, [1.0, 3.0, 3.0, 1.0], ["a"] * 4, strict=True)), "ts timestamp_ntz, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES["AG22_candle_times_all"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [(D(2024, 1, 1), "a", at[0], at[3], at[1])]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

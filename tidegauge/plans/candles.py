@@ -63,6 +63,14 @@ def times(spark, sf_dir):
     return d.select("bucket", "symbol", "c.open_time", "c.close_time", "c.high_time")
 
 
+@query("AG22_candle_times_all", "SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, event_type AS symbol, min(ts) AS open_time, max(ts) AS close_time, first(ts ORDER BY value DESC NULLS LAST, ts) AS high_time FROM events GROUP BY ALL")
+def times_all(spark, sf_dir):
+    """The times of candles of all events; the time of a high that occurs more than once is the least."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    d = e.groupBy(time_bucket("1 day", "ts").alias("bucket"), F.col("event_type").alias("symbol")).agg(A.candlestick_agg("ts", "value").alias("c"))
+    return d.select("bucket", "symbol", "c.open_time", "c.close_time", "c.high_time")
+
+
 @query("CA6_cascade", f"SELECT time_bucket(INTERVAL '1 week', ts) AS bucket, event_type AS symbol, {_CANDLE} FROM events GROUP BY ALL".replace("'1 week'", "'7 days'"))
 def cascade(spark, sf_dir):
     day = _hourly(spark, sf_dir).withColumn("day", time_bucket("1 day", "bucket")).groupBy("day", "symbol").agg(A.rollup_candlestick("c").alias("c"))
