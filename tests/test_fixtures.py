@@ -105,6 +105,22 @@ def test_alignment(spark):
     assert sorted(map(tuple, J.full_outer_align([a, b], "t").collect()), key=str) == [(1, 3, None), (2, 2, 5), (3, None, 4)]
 
 
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    """Many queries over many blocks, with ties, a null vector and one of another length; nothing is sent to all."""
+    monkeypatch.setattr(J, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(J, "ITEM_BLOCK", 11)
+    g = np.random.default_rng(1).integers(0, 3, (60, 3)).astype(float)
+    rows = [(i, x.tolist()) for i, x in enumerate(g)] + [(60, None), (61, [1.0])]
+    d = frame(spark, "id bigint, v array<double>", *rows)
+    got = J.nearest_vectors(d.where("id % 2 = 0 AND id < 60"), d, "v", "id", "id", 4)
+    assert "Broadcast" not in got._jdf.queryExecution().optimizedPlan().toString() and "Join Cross" not in got._jdf.queryExecution().toString()
+    want = [(q, i, r + 1) for q in range(0, 60, 2) for r, i in enumerate(sorted(range(60), key=lambda i: (np.sqrt(((g[i] - g[q]) ** 2).sum()), i))[:4])]
+    assert sorted((r["query_id"], r["item_id"], r["rank"]) for r in got.collect()) == sorted(want)
+    few = J.nearest_vectors(d.where("id = 0"), d.where("id >= 59"), "v", "id", "id", 4).orderBy("rank").collect()
+    assert [(r["item_id"], r["distance"] is None) for r in few] == [(59, False), (60, True), (61, True)]
+    assert J.nearest_vectors(d.limit(0), d, "v", "id", "id", 4).count() == 0
+
+
 def test_delta(spark):
     d = frame(spark, "uid string, n int, charge int", ("b1", 1, 100), ("b1", 2, 102), ("b1", 3, 106))
     assert [r["delta"] for r in W.delta(d, ["uid"], ["n"], "charge").orderBy("n").collect()] == [0, 2, 4]

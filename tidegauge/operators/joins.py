@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidegauge.functions.bucket import Width, parse_width, time_bucket
 
@@ -77,11 +77,59 @@ def last_before(df: DataFrame, keys: list[str], time: str, is_mark: Column) -> D
     return df.withColumn("mark_time", F.last(F.when(is_mark, F.col(time)), ignorenulls=True).over(w))
 
 
+#: Queries and items whose distances are taken in one task, about; distances held at once.
+QUERY_BLOCK, ITEM_BLOCK, DISTANCES = 4096, 8192, 1 << 18
+
+
 def nearest_vectors(queries: DataFrame, items: DataFrame, vector: str, query_id: str, item_id: str, k: int) -> DataFrame:
-    """The k nearest items by Euclidean distance of each of a few queries (these are sent to all)."""
-    from tidegauge.functions.scalars import l2_distance
+    """The k nearest items by Euclidean distance of each query, the least id first of those as near; vectors have one length.
 
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__q"))
-    d = items.select(F.col(item_id).alias("item_id"), F.col(vector).alias("__v")).crossJoin(F.broadcast(q)).select("query_id", "item_id", l2_distance("__q", "__v").alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "item_id"))
-    return d.withColumn("rank", rank).where(F.col("rank") <= k)
+    Ids deal both sides to blocks of bounded size. Each pair of blocks is one group, of which k items a query are left. A
+    vector that is null or of another length has a null distance, which comes last.
+    """
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("__q"))
+    i = items.select(F.col(item_id).alias("item_id"), F.col(vector).cast("array<double>").alias("__v"))
+    nq, ni = (max(1, -(-d.count() // size)) for d, size in ((q, QUERY_BLOCK), (i, ITEM_BLOCK)))
+
+    def dealt(d: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        return d.withColumns({own: F.pmod(F.xxhash64(d.columns[0]), F.lit(n)), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>"))})
+
+    pairs = dealt(q, "__qb", nq, "__ib", ni).groupBy("__qb", "__ib").cogroup(dealt(i, "__ib", ni, "__qb", nq).groupBy("__qb", "__ib"))
+    kinds = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("item_id", i.schema["item_id"].dataType), T.StructField("distance", T.DoubleType())])
+    near = pairs.applyInArrow(lambda a, b: _nearest(a, b, k), kinds)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), "item_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _nearest(queries, items, k: int):
+    """The k nearest of the items of a block for each query of a block, as an Arrow table."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    items = items.take(pc.sort_indices(items["item_id"], null_placement="at_start"))
+    columns = [t[c].combine_chunks() for t, c in ((queries, "__q"), (items, "__v"))]
+    lengths = [pc.fill_null(pc.list_value_length(c), -1).to_numpy(zero_copy_only=False) for c in columns]
+    width = max([0, *(n.max() for n in lengths if len(n))])
+    full = []
+    for c, n in zip(columns, lengths, strict=True):
+        x = np.full((len(n), width), np.nan)
+        x[n == width] = c.filter(pa.array(n == width)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        full.append(x)
+    q, v = full[0], np.ascontiguousarray(full[1].T)
+    k, step, rows, picked, far = min(k, v.shape[1]), max(1, DISTANCES // max(1, v.shape[1])), [], [], []
+    for at in range(0, len(q) if k else 0, step):
+        d = np.zeros((len(q[at : at + step]), v.shape[1]))
+        for j in range(width):
+            d += (v[j] - q[at : at + step, j, None]) ** 2
+        d = np.sqrt(d)
+        d[np.isnan(d)] = np.inf
+        most = np.partition(d, k - 1, axis=1)[:, k - 1]
+        for r in range(len(d)):
+            near = np.flatnonzero(d[r] <= most[r])
+            near = near[np.argsort(d[r, near], kind="stable")[:k]]
+            rows.append(np.full(len(near), at + r))
+            picked.append(near)
+            far.append(d[r, near])
+    rows, picked, far = (np.concatenate([np.zeros(0, t), *x]).astype(t) for x, t in ((rows, np.int64), (picked, np.int64), (far, np.float64)))
+    return pa.table({"query_id": queries["query_id"].take(pa.array(rows)), "item_id": items["item_id"].take(pa.array(picked)), "distance": pa.array(far, mask=np.isinf(far))})

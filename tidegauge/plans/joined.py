@@ -110,6 +110,13 @@ def knn(spark, sf_dir):
     return got.select("query_id", "item_id", F.round("distance", 4).alias("distance"), "rank")
 
 
+@query("SC18_nearest_vectors_all", "SELECT query_id, item_id, round(d, 4) AS distance, rank FROM (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_distance(i.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(i.embedding::DOUBLE[], q.embedding::DOUBLE[]), i.vec_id) AS rank FROM embeddings i, embeddings q WHERE q.vec_id % 20 = 0) x WHERE rank <= 3")
+def knn_all(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    got = J.nearest_vectors(e.where("vec_id % 20 = 0"), e, "embedding", "vec_id", "vec_id", 3)
+    return got.select("query_id", "item_id", F.round("distance", 4).alias("distance"), "rank")
+
+
 @query("PIPE_consumption_by_type", """SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, kind, round(sum(value), 4) AS total FROM
        (SELECT p.ts, p.value, s.user_id % 5 AS kind FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') s ON p.user_id % 10 = s.user_id % 10 AND p.ts >= s.ts) GROUP BY ALL""")
 def consumption(spark, sf_dir):
