@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import merge
+from tidegauge.plans import registry
 from tidegauge.plans.cagg import Catalog
 from tidegauge.plans.jobs import Channels, Jobs, compression_policy, explain, refresh_policy, retention_policy, timed
 from tidegauge.sources import generate as G
@@ -167,3 +168,11 @@ def test_notices_route_and_plans(spark, ticks, tmp_path):
 def test_pushdown(spark, small):
     plan = explain(spark.read.parquet(f"{small}/lineitem.parquet").where("l_orderkey < 10").select("l_orderkey", "l_tax"))
     assert "LessThan(l_orderkey,10)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_tax:double>" in plan
+
+
+@pytest.mark.parametrize("name", ["SNK8_truncate_all", "STO2_second_dimension_all", "STO5_compressed_all"])
+def test_all_users_are_read_back(spark, small, name):
+    """Rows of every user come back, and a filter by user is pushed to the files."""
+    got = registry.QUERIES[name](spark, small)
+    assert rows(got) == rows(spark.read.parquet(f"{small}/events.parquet").select("event_id", "ts", "user_id", "value"))
+    assert "EqualTo(user_id,17)" in explain(got.where("user_id = 17"))

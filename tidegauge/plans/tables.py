@@ -41,6 +41,14 @@ def snk8(spark, sf_dir):
     return t.read()
 
 
+@query("SNK8_truncate_all", "SELECT event_id, ts, user_id, value FROM events")
+def snk8_all(spark, sf_dir):
+    t = _table(spark, sf_dir)
+    t.truncate()
+    t.append(_rows(spark, sf_dir))
+    return t.read()
+
+
 @query("STO1_chunks", "SELECT DISTINCT strftime(time_bucket(INTERVAL '7 days', ts), '%Y%m%dT%H%M%S') AS chunk FROM events")
 def sto1(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in _table(spark, sf_dir).show_chunks()], "chunk string")
@@ -51,6 +59,11 @@ def sto2(spark, sf_dir):
     return _table(spark, sf_dir, space=("user_id", 4)).read().where("user_id = 17")
 
 
+@query("STO2_second_dimension_all", "SELECT event_id, ts, user_id, value FROM events")
+def sto2_all(spark, sf_dir):
+    return _table(spark, sf_dir, space=("user_id", 4)).read()
+
+
 @query("STO4_read_chunk", "SELECT event_id FROM events WHERE time_bucket(INTERVAL '7 days', ts) = (SELECT min(time_bucket(INTERVAL '7 days', ts)) FROM events)")
 def sto4(spark, sf_dir):
     t = _table(spark, sf_dir)
@@ -65,6 +78,14 @@ def sto5(spark, sf_dir):
     return t.read().where("user_id < 20").groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("high"))
 
 
+@query("STO5_compressed_all", "SELECT event_id, ts, user_id, value FROM events")
+def sto5_all(spark, sf_dir):
+    t = _table(spark, sf_dir)
+    t.set_compression(["user_id"], ["ts"])
+    t.compress_chunks("2024-01-16 00:00:00")
+    return t.read()
+
+
 @query("STO6_retention", "SELECT event_id FROM events WHERE time_bucket(INTERVAL '1 day', ts) + INTERVAL 1 DAY > TIMESTAMP '2024-01-11 12:00:00'")
 def sto6(spark, sf_dir):
     t = _table(spark, sf_dir, "1 day")
