@@ -147,6 +147,12 @@ def families(spark):
     return out
 
 
+def test_near_miss_rate_is_the_stated_one():
+    k, t = near_dedup.K, near_dedup.T
+    missed = {s: round(1e4 * sum(math.comb(k, n) * s**n * (1 - s) ** (k - n) for n in range(t)), 1) for s in (0.85, 0.86, 0.88)}
+    assert f"fewer than T = {t} {missed[0.85]} times in 10,000 ({missed[0.86]} at 0.86, {missed[0.88]} at 0.88)" in near_dedup.__doc__
+
+
 @pytest.mark.parametrize("block", [512, 4])
 def test_near_duplicates(spark, texts, families, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
