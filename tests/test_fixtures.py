@@ -164,6 +164,35 @@ def test_persian(spark):
     assert [tuple(r) for r in d.collect()] == [(1402, 1, 1), (1402, 1, 6), (1402, 2, 1)]
 
 
+def test_persian_day_by_day(spark):
+    """Fifty years of the day-number arithmetic, and the new years of the calendar itself."""
+
+    def want(day):
+        n = day.toordinal() + 1721425 - 2121445
+        y = 474 + 33 * (n // 12053) + 4 * (n % 12053 // 1461)
+        n = n % 12053 % 1461
+        y, n = (y + (n - 1) // 365, (n - 1) % 365) if n >= 366 else (y, n)
+        return (y, 1 + n // 31, 1 + n % 31) if n < 186 else (y, 7 + (n - 186) // 30, 1 + (n - 186) % 30)
+
+    d = spark.sql("SELECT explode(sequence(DATE '1990-01-01', DATE '2040-01-01', INTERVAL 1 DAY)) AS d").select("d", scalars.persian_date("d").alias("p")).collect()
+    assert len(d) > 18000 and all(tuple(r["p"]) == want(r["d"]) for r in d)
+    years = {"2020-03-20": 1399, "2021-03-21": 1400, "2022-03-21": 1401, "2023-03-21": 1402, "2024-03-20": 1403, "2025-03-21": 1404, "2026-03-21": 1405}
+    d = frame(spark, "d string", *[(k,) for k in years]).select("d", scalars.persian_date(F.col("d").cast("date"), legacy=False).alias("p"), scalars.persian_date(F.col("d").cast("date") - F.expr("INTERVAL 1 DAY"), legacy=False).alias("q"))
+    for r in d.collect():
+        y = years[r["d"]]
+        assert tuple(r["p"]) == (y, 1, 1) and tuple(r["q"])[:2] == (y - 1, 12) and r["q"]["d"] in (29, 30)
+
+
+def test_stats_far_from_zero(spark):
+    """Values near a thousand million lose no digits, in one state or merged from many."""
+    d = spark.range(1000).selectExpr("id % 7 AS g", "1e9 + id % 10 AS y", "2e9 + (id % 10) * 3 + (id % 3) * 0.1 AS x").selectExpr("g", "double(y) AS y", "double(x) AS x")
+    want = d.agg(F.corr("y", "x").alias("r"), F.covar_samp("y", "x").alias("c")).first()
+    parts = d.groupBy("g").agg(A.stats_agg("y", "x").alias("s")).agg(A.rollup_stats("s").alias("s"))
+    for got in (d.agg(A.stats_agg("y", "x").alias("s")), parts):
+        r = got.select(A.stats_corr("s").alias("r"), A.stats_covariance("s").alias("c")).first()
+        assert abs(r["r"] - want["r"]) < 1e-6 and abs(r["c"] - want["c"]) < 1e-4
+
+
 def test_latest_per_key(spark):
     d = frame(spark, "k string, n int, v string", ("a", 1, "x"), ("a", 3, None), ("b", 2, "z"))
     assert sorted(map(tuple, W.latest(d, ["k"], "n").collect())) == [("a", 3, None), ("b", 2, "z")]

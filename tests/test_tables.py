@@ -170,7 +170,7 @@ def test_pushdown(spark, small):
     assert "LessThan(l_orderkey,10)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_tax:double>" in plan
 
 
-@pytest.mark.parametrize("name", ["SNK8_truncate_all", "STO2_second_dimension_all", "STO5_compressed_all"])
+@pytest.mark.parametrize("name", ["SNK8_truncate", "STO2_second_dimension", "STO5_compressed"])
 def test_all_users_are_read_back(spark, small, name):
     """Rows of every user come back, and a filter by user is pushed to the files."""
     got = registry.QUERIES[name](spark, small)

@@ -63,27 +63,43 @@ def _micros(t: Column) -> Column:
 
 
 def stats_agg(y, x) -> Column:
-    """Sums from which averages, covariance and correlation of rows with both values follow."""
+    """State of rows with both values: their count, both averages, and sums of squared and mixed deviations from these."""
     both = _c(y).isNotNull() & _c(x).isNotNull()
     a, b = F.when(both, _c(y).cast("double")), F.when(both, _c(x).cast("double"))
-    return F.struct(F.count(a).alias("n"), F.sum(a).alias("sy"), F.sum(b).alias("sx"), F.sum(a * a).alias("syy"), F.sum(b * b).alias("sxx"), F.sum(a * b).alias("sxy"))
+    n = F.count(a)
+    return F.struct(n.alias("n"), F.avg(a).alias("my"), F.avg(b).alias("mx"), (F.var_pop(a) * n).alias("cyy"), (F.var_pop(b) * n).alias("cxx"), (F.covar_pop(a, b) * n).alias("cxy"))
 
 
 def rollup_stats(state) -> Column:
-    s = _c(state)
-    return F.struct(*[F.sum(s[f]).alias(f) for f in ("n", "sy", "sx", "syy", "sxx", "sxy")])
+    """One state of many, merged one by one, so that averages far from 0 cost no digits.
+
+    States of a group, not its rows, stand in one array; states without rows count for nothing.
+    """
+    states = F.array_sort(F.collect_list(F.when(_c(state)["n"] > 0, _c(state))))
+    none = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(f) for f in ("my", "mx", "cyy", "cxx", "cxy")])
+
+    def merge(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        dy, dx, share = b["my"] - a["my"], b["mx"] - a["mx"], b["n"] / n
+        w = a["n"] * share
+        return F.struct(
+            n.alias("n"), (a["my"] + dy * share).alias("my"), (a["mx"] + dx * share).alias("mx"),
+            (a["cyy"] + b["cyy"] + dy * dy * w).alias("cyy"), (a["cxx"] + b["cxx"] + dx * dx * w).alias("cxx"), (a["cxy"] + b["cxy"] + dy * dx * w).alias("cxy"),
+        )
+
+    return F.aggregate(states, none, merge)
 
 
 def stats_corr(state) -> Column:
+    """Correlation; null if a value doesn't vary."""
     s = _c(state)
-    d = F.sqrt((s["n"] * s["syy"] - s["sy"] * s["sy"]) * (s["n"] * s["sxx"] - s["sx"] * s["sx"]))
-    return (s["n"] * s["sxy"] - s["sx"] * s["sy"]) / F.nullif(d, F.lit(0.0))
+    return s["cxy"] / F.nullif(F.sqrt(s["cyy"]) * F.sqrt(s["cxx"]), F.lit(0.0))
 
 
 def stats_covariance(state) -> Column:
     """Sample covariance."""
     s = _c(state)
-    return (s["sxy"] - s["sx"] * s["sy"] / s["n"]) / F.nullif(s["n"] - 1, F.lit(0))
+    return s["cxy"] / F.nullif(s["n"] - 1, F.lit(0))
 
 
 def histogram(value, low: float, high: float, buckets: int) -> Column:

@@ -46,18 +46,27 @@ def contains(range_: Column, ts) -> Column:
 
 
 def persian_date(d, legacy: bool = True) -> Column:
-    """Year, month and day of the Persian calendar by whole-number arithmetic on the Gregorian date.
+    """Year, month and day of the Persian calendar by whole-number arithmetic on the day number of a Gregorian date.
 
-    legacy keeps a year that is one too small, which earlier results have; without it the year is right.
+    legacy counts days from 2121445 in the Julian day count and years from 474, which earlier results have: its years begin
+    a day or so off and are one too small at first. Without it leap years are the eight of each 33 that the calendar has
+    from 1799 to 2255.
     """
-    y, doy = F.year(_c(d)), F.dayofyear(_c(d))
-    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
-    start = 79 + F.when(leap, 1).otherwise(0)  # day of the year of 20 or 21 March, the last of the year before
-    after = doy > start - (1 if legacy else 0)
-    n = F.when(after, doy - start + (1 if legacy else 0)).otherwise(doy + 286 + F.when(((y - 1) % 4 == 0), 1).otherwise(0))
-    month = F.when(n <= 186, F.floor((n - 1) / 31) + 1).otherwise(F.floor((n - 187) / 30) + 7)
-    day = F.when(n <= 186, (n - 1) % 31 + 1).otherwise((n - 187) % 30 + 1)
-    year = y - 621 - F.when(after, 0).otherwise(1) - (1 if legacy else 0)
+    if legacy:
+        # fixed values: the base day, the base year, and the days of 33, 4 and 1 years
+        n = F.unix_date(_c(d)) + 2440588 - 2121445
+        cycle, n = F.floor(n / 12053), F.pmod(n, F.lit(12053))
+        four, n = F.floor(n / 1461), n % 1461
+        late = n >= 366
+        year = 474 + 33 * cycle + 4 * four + F.when(late, F.floor((n - 1) / 365)).otherwise(0)
+        n = F.when(late, (n - 1) % 365).otherwise(n)
+    else:
+        # fixed values: 12,053 days in 33 years, and the day number of the year 1
+        e = F.unix_date(_c(d)) + 492268
+        year = F.floor((33 * e + 3) / 12053) + 1
+        n = e - F.floor((12053 * (year - 1) + 29) / 33)
+    month = F.when(n < 186, 1 + F.floor(n / 31)).otherwise(7 + F.floor((n - 186) / 30))
+    day = F.when(n < 186, 1 + n % 31).otherwise(1 + (n - 186) % 30)
     return F.struct(year.cast("int").alias("y"), month.cast("int").alias("m"), day.cast("int").alias("d"))
 
 

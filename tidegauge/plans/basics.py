@@ -189,10 +189,21 @@ def sc18(spark, sf_dir):
     return d.orderBy("d", "vec_id").limit(10).select("vec_id", F.round("d", 4).alias("distance"))
 
 
-@query("SC19_persian_date")
+_PERSIAN = """WITH dates AS (SELECT DISTINCT ts::DATE AS date FROM events UNION SELECT DISTINCT o_orderdate::DATE FROM orders),
+a AS (SELECT date, floor(julian(date) + 0.5)::BIGINT - 2121445 AS n FROM dates),
+b AS (SELECT date, 474 + 33 * (n // 12053) AS y, n % 12053 AS n FROM a),
+c AS (SELECT date, y + 4 * (n // 1461) AS y, n % 1461 AS n FROM b),
+e AS (SELECT date, CASE WHEN n >= 366 THEN y + (n - 1) // 365 ELSE y END AS y, CASE WHEN n >= 366 THEN (n - 1) % 365 ELSE n END AS n FROM c)
+SELECT date, y::INTEGER AS persian_year, (CASE WHEN n < 186 THEN 1 + n // 31 ELSE 7 + (n - 186) // 30 END)::INTEGER AS persian_month,
+(CASE WHEN n < 186 THEN 1 + n % 31 ELSE 1 + (n - 186) % 30 END)::INTEGER AS persian_day, (date - dayofweek(date)::INTEGER)::DATE AS week FROM e"""
+
+
+@query("SC19_persian_date", _PERSIAN)
 def sc19(spark, sf_dir):
-    d = table(spark, sf_dir, "events").select(F.to_date("ts").alias("d")).distinct()
-    return d.withColumn("p", S.persian_date("d")).select("d", "p.*", S.week_start_sunday("d").alias("week"))
+    days = [table(spark, sf_dir, t).select(F.to_date(c).alias("date")) for t, c in (("events", "ts"), ("orders", "o_orderdate"))]
+    d = days[0].unionByName(days[1]).distinct()
+    p = d.withColumn("p", S.persian_date("date"))
+    return p.select("date", F.col("p.y").alias("persian_year"), F.col("p.m").alias("persian_month"), F.col("p.d").alias("persian_day"), S.week_start_sunday("date").alias("week"))
 
 
 @query("SC20_qualify", "SELECT event_id, CASE WHEN event_type = 'error' OR value - 5 < 0 THEN 'Discard' ELSE 'OK' END AS a, CASE WHEN user_id % 2 <> 0 OR nullif(value, 1) IS NULL THEN 'Discard' ELSE 'OK' END AS b FROM events")

@@ -55,16 +55,8 @@ def rollup(spark, sf_dir):
     return _unpacked(h.groupBy("day", "symbol").agg(A.rollup_candlestick("c").alias("c")), "day")
 
 
-@query("AG22_candle_times", "SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, event_type AS symbol, min(ts) AS open_time, max(ts) AS close_time, arg_max(ts, value) AS high_time FROM (SELECT * FROM events ORDER BY ts) x WHERE value IN (SELECT value FROM events GROUP BY value HAVING count(*) = 1) GROUP BY ALL")
+@query("AG22_candle_times", "SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, event_type AS symbol, min(ts) AS open_time, max(ts) AS close_time, first(ts ORDER BY value DESC NULLS LAST, ts) AS high_time FROM events GROUP BY ALL")
 def times(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    e = e.join(e.groupBy("value").count().where("count = 1").select("value"), "value", "left_semi")
-    d = e.groupBy(time_bucket("1 day", "ts").alias("bucket"), F.col("event_type").alias("symbol")).agg(A.candlestick_agg("ts", "value").alias("c"))
-    return d.select("bucket", "symbol", "c.open_time", "c.close_time", "c.high_time")
-
-
-@query("AG22_candle_times_all", "SELECT time_bucket(INTERVAL '1 day', ts) AS bucket, event_type AS symbol, min(ts) AS open_time, max(ts) AS close_time, first(ts ORDER BY value DESC NULLS LAST, ts) AS high_time FROM events GROUP BY ALL")
-def times_all(spark, sf_dir):
     """The times of candles of all events; the time of a high that occurs more than once is the least."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     d = e.groupBy(time_bucket("1 day", "ts").alias("bucket"), F.col("event_type").alias("symbol")).agg(A.candlestick_agg("ts", "value").alias("c"))

@@ -161,10 +161,11 @@ sql("WN9_aggregate_in_window", "SELECT event_type, count(*) AS n, sum(count(*))
 
 @query("WN10_bollinger", """WITH s AS (SELECT *, avg(value) OVER w AS sma FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
        d AS (SELECT *, sqrt(avg((value - sma) * (value - sma)) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) AS sd FROM s)
-       SELECT event_id, round(sma, 4) AS sma, round(sma + 2 * sd, 4) AS upper_band, round(sma - 2 * sd, 4) AS lower_band FROM d""")
+       SELECT event_id, round(sma, 6) AS sma, round(sma + 2 * sd, 6) AS upper_band, round(sma - 2 * sd, 6) AS lower_band FROM d""")
 def wn10(spark, sf_dir):
     b = W.bollinger(_events(spark, sf_dir), ["event_type"], "ts", "value")
-    return b.select("event_id", *[F.round(c, 4).alias(c) for c in ("sma", "upper_band", "lower_band")])
+    # averages of up to 20 amounts of cents have six decimals at most, so none lies between two results
+    return b.select("event_id", *[F.round(c, 6).alias(c) for c in ("sma", "upper_band", "lower_band")])
 
 
 @query("WN11_counter_rate", """SELECT event_id, round((CASE WHEN v >= p THEN v - p ELSE v END) / ((epoch_us(ts) - epoch_us(q)) / 1e6), 6) AS rate FROM
