@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -64,8 +65,55 @@ def test_pii_judged_and_redacted(spark):
     assert "Python" not in pii.redact(d)._jdf.queryExecution().toString()
 
 
+def test_pii_base_kinds_on_random_texts(spark):
+    """Runs of digits and what may part them, in all mixtures: every base span, and redaction from the same spans."""
+    r, texts = np.random.default_rng(12), []
+    alphabets = ["0123456789 -", "0125.", "0123456789.", "0123456789. +()-", "ab.@-0", "41 ", "4-1 +", "a@b.c1% "]
+    for n in range(3000):
+        letters = alphabets[n % len(alphabets)]
+        texts.append("".join(letters[i] for i in r.integers(0, len(letters), int(r.integers(1, 60)))))
+    for n in range(600):  # cards and phones of parted digits, right and wrong
+        digits = "4" + "".join(map(str, r.integers(0, 10, int(r.integers(12, 19)))))
+        sep = ["", " ", "-"][n % 3]
+        texts.append("x " + sep.join(digits) + " y +" + "".join(d + [" ", "", ".", "-", "("][i % 5] for i, d in enumerate(digits[:12])))
+    got = {r["doc_id"]: r for r in pii.pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seen = Counter()
+    for i, t in enumerate(texts):
+        want = brute.pii(t)
+        seen.update(w[3] for w in want)
+        assert got[i]["base_sha256"] == brute.sha(",".join(f"{k}:{s}:{e}" for s, _, e, k in want)), t
+    assert all(seen[k] > 20 for k in pii.BASE), seen
+
+
+def test_pii_many_matches_in_one_text(spark):
+    """A hundred thousand spans of a text of megabytes take seconds, found or redacted."""
+    one = "call me 408-555-7800 a@b.co 😀 "
+    d = spark.createDataFrame([(1, one * 50000)], "doc_id long, text string")
+    pii.fit(spark)
+    began = time.perf_counter()
+    r = pii.pii_report(d).collect()[0]
+    assert r["n_email"] == 50000 and r["spans"].count(",") == 99999 and r["spans"].endswith(f"email:{49999 * len(one) + 21}:{49999 * len(one) + 27}")
+    assert pii.redact(d).collect()[0]["text"] == "call me [PHONE_LOCAL] [EMAIL] 😀 " * 50000
+    assert time.perf_counter() - began < 120
+
+
+def test_pii_redacts_long_stretches(spark):
+    """Pieces that cross blocks, end at their edges, or hold whole blocks."""
+    t = ["é" * n + "a@b.co" + "😀" * m + "c@d.ef" + "\n" * k for n in (0, 1, 1018, 1023, 1024, 5000) for m in (1, 1012, 1024, 3000) for k in (0, 1, 2048)]
+    t = [x.replace("éa", "é a").replace("😀c", "😀 c") for x in t]
+    d = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    want = [x.replace("a@b.co", "[EMAIL]").replace("c@d.ef", "[EMAIL]") for x in t]
+    assert [r["text"] for r in pii.redact(d).orderBy("doc_id").collect()] == want
+
+
+def test_pii_probabilities_are_calibrated(spark):
+    """Over examples made anew, the share of personal data among spans of a bin is near their mean probability."""
+    table = pii.reliability(spark)
+    assert {r[0] for r in table} == set(pii.JUDGED)
+    assert sum(n * abs(p - share) for _, _, n, p, share in table) / sum(r[2] for r in table) < 0.05
+
+
 def test_pii_trees_on_unseen_examples(spark):
-    trees, cuts = pii.fit(spark)
     made = pii.examples(seed=99, n=40)
     d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")
     found = {r["doc_id"]: bool(r["spans"]) for r in pii.find(d).collect()}

@@ -1,9 +1,9 @@
 """Personal data by generated candidates and boosted trees.
 
 Generators with high recall propose spans, which may overlap. Spans of the four base kinds hold by their format alone
-and always stay. Of the other kinds a span is kept if gradient boosted trees, over features of its format and of the
-text around it, give it a probability over a threshold; thresholds are calibrated on examples that the trees haven't
-seen. The trees are learned on the driver from a few thousand examples that are made by rule; they are applied as SQL
+and always stay. Of the other kinds a span is kept if gradient boosted trees, over features of its format, of its checksum and of
+the text around it, give it a probability over a threshold; probabilities and thresholds are calibrated on examples that the
+trees haven't seen. The trees are learned on the driver from a few thousand examples that are made by rule; they are applied as SQL
 expressions. Only DataFrame functions touch documents, in one pass and without a shuffle.
 """
 
@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import random
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -47,36 +50,73 @@ _CUES = {
 }
 _AGAINST = r"(?:order|part|version|isbn|serial|item|page|example|model|invoice|lot|ref)"
 
-_SPANS = "array<struct<s:int,e:int,k:int,m:string,l:string,r:string>>"
+_SPANS = "array<struct<s:int,k:int,e:int,m:string,l:string,r:string>>"
+#: Code points in a block of a text that is put together anew.
+_BLOCK_BITS = 10
 
 
 def _empty() -> Column:
     return F.expr(f"cast(array() as {_SPANS})")
 
 
-def _matches(df: DataFrame, text: str, kinds: dict[str, str]) -> DataFrame:
-    """Columns __m_<kind> and __p_<kind>: what matches, and the pieces of the text between."""
-    t = F.col(text)
-    none = F.array().cast("array<string>")
-    df = df.withColumns({"__digits": t.rlike("[0-9]{2}"), "__parted": t.rlike(r"[0-9][\x20-]?[0-9]")})
-    for k, pattern in kinds.items():
-        guard = t.contains(_GUARD[k]) if k in _GUARD else F.lit(True) if k == "secret" else t.rlike("[0-9]\\.[0-9]") if k == "ip" else F.col("__parted" if k == "card" else "__digits")
-        df = df.withColumn(f"__m_{k}", F.when(guard, F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).otherwise(none))
-    return df.withColumns({f"__p_{k}": F.when(F.size(f"__m_{k}") > 0, F.split(t, pattern, -1)).otherwise(none) for k, pattern in kinds.items()}).drop("__digits", "__parted")
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _located(k: str) -> Column:
-    """Spans of one kind: start and end in code points, the kind's number, what matches and what stands around it."""
-    p, m, n = F.col(f"__p_{k}"), F.col(f"__m_{k}"), KINDS.index(k)
-    parts = F.transform(m, lambda x, i: F.struct(F.get(p, i).alias("p"), x.alias("m"), F.get(p, i + 1).alias("q")))
+def _scan(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative operation over an array, in as many passes as its length has binary digits."""
 
-    def step(acc, x):
-        s = acc["at"] + F.length(x["p"])
-        e = s + F.length(x["m"])
-        span = F.struct(s.alias("s"), e.alias("e"), F.lit(n).alias("k"), x["m"].alias("m"), F.right(x["p"], F.lit(40)).alias("l"), F.left(x["q"], F.lit(8)).alias("r"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def step(acc: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda v, i: F.when(i >= back, op(v, F.get(acc, i - back))).otherwise(v))
 
-    return F.when(F.size(m) > 0, F.aggregate(parts, F.struct(F.lit(0).alias("at"), _empty().alias("out")), step, lambda acc: acc["out"])).otherwise(_empty())
+    def run(a: Column) -> Column:
+        passes = F.sequence(F.lit(0), F.ceil(F.log2(F.size(a))).cast("int"))
+        return F.when(F.size(a) > 1, F.aggregate(passes, a, step)).otherwise(a)
+
+    return _let(values, run)
+
+
+def _guard(k: str, t: Column) -> Column:
+    """Something that a text with a match of the kind always holds; it follows from the kind's pattern."""
+    if k in _GUARD:
+        return t.contains(_GUARD[k])
+    return {"secret": F.lit(True), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9][\x20-]?[0-9]")}.get(k, t.rlike("[0-9]{2}"))
+
+
+def _located(t: Column, k: str, pattern: str) -> Column:
+    """Spans of one kind in a text: start, the kind's number, end, what matches and what stands around it; code points.
+
+    Ends are running sums of the lengths of matches and of the pieces between, so the work is in proportion to the text
+    and to n log n of its n matches.
+    """
+    number = KINDS.index(k)
+
+    def placed(m: Column, p: Column) -> Column:
+        ends = _scan(F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x)), lambda a, b: a + b)
+
+        def span(c: Column):
+            return lambda x, i: F.struct(
+                (F.get(c, i) - F.length(x)).alias("s"), F.lit(number).alias("k"), F.get(c, i).alias("e"), x.alias("m"),
+                F.right(F.get(p, i), F.lit(40)).alias("l"), F.left(F.get(p, i + 1), F.lit(8)).alias("r"),
+            )
+
+        return _let(ends, lambda c: F.transform(m, span(c)))
+
+    def some(m: Column) -> Column:
+        return F.when(F.size(m) > 0, _let(F.split(t, pattern, -1), lambda p: placed(m, p))).otherwise(_empty())
+
+    return F.when(_guard(k, t), _let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), some)).otherwise(_empty())
+
+
+def _piece(blocks: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of a text that is given in blocks; only blocks that the piece touches are looked at."""
+    i, j, low = F.shiftright(a, _BLOCK_BITS), F.shiftright(b, _BLOCK_BITS), (1 << _BLOCK_BITS) - 1
+    at = a.bitwiseAND(low) + 1
+    between = F.when(j > i + 1, F.array_join(F.transform(F.sequence(i + 1, j - 1), lambda x: F.get(blocks, x)), "")).otherwise("")
+    across = F.concat(F.substring(F.get(blocks, i), at, F.lit(low + 1)), between, F.coalesce(F.substring(F.get(blocks, j), F.lit(1), b.bitwiseAND(low)), F.lit("")))
+    return F.when(b <= a, "").when(i == j, F.substring(F.get(blocks, i), at, b - a)).otherwise(across)
 
 
 def _digits(x: Column) -> Column:
@@ -95,8 +135,19 @@ def _holds(span: Column) -> Column:
     )
 
 
+def _mod97(m: Column) -> Column:
+    """Remainder of an account number by 97, letters as two digits and its first four characters last; 1 if it is right."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    chars = F.filter(F.split(F.concat(F.substring(plain, 5, 64), F.left(plain, F.lit(4))), ""), lambda c: c != "")
+
+    def step(acc: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), acc * 10 + F.ascii(c) - 48).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(chars, F.lit(0), step)
+
+
 def _features(x: Column) -> list[Column]:
-    """Numbers that the trees look at, for a span of a judged kind."""
+    """Numbers that the trees look at, for a span of a judged kind: its format, its checksum, and the text around it."""
     left, m = F.lower(x["l"]), x["m"]
     digits = _digits(m)
     cue = F.lit(0.0)
@@ -114,6 +165,11 @@ def _features(x: Column) -> list[Column]:
         F.when(left.rlike(r"[:=]\s*\"?$"), 1.0).otherwise(0.0),
         F.when(digits.rlike("^(?:000|666|9)|^0|^123|(?:0000)$"), 1.0).otherwise(0.0),
         F.when(x["r"].rlike(r"^[A-Za-z0-9]"), 1.0).otherwise(0.0),
+        F.when(x["k"] == KINDS.index("iban"), F.when(_mod97(m) == 1, 1.0).otherwise(0.0)).otherwise(0.0),
+        F.size(F.array_distinct(F.split(F.lower(m), ""))).cast("double"),
+        F.when(left.rlike(r"[.!?\n]\s*$"), 1.0).otherwise(0.0),
+        F.when(left.rlike(r"[0-9]"), 1.0).otherwise(0.0),
+        F.length(F.regexp_extract(left, r"([a-z]*)[^a-z]*$", 1)).cast("double"),
     ]
 
 
@@ -125,11 +181,17 @@ def examples(seed: int = 5, n: int = 240) -> list[tuple[str, int]]:
     word = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
     hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
     some = lambda: " ".join(r.choice(filler) for _ in range(r.randint(1, 6)))
+
+    def account(country: str, digits: str) -> str:
+        rest = int(digits + "".join(str(ord(c) - 55) for c in country) + "00") % 97
+        sep = r.choice(["", " "])
+        return f"{country}{98 - rest:02d}{sep}" + sep.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+
     first = lambda: r.choice("2345678") + num(2)
     good = {
         "phone_local": (("phone", "Tel:", "call me at", "mobile", "contact", "fax:", "reach us on"), lambda: r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(first(), num(3), num(4))),
         "national_id": (("SSN", "social security number", "SSN:", "national id", "tax id"), lambda: f"{r.choice('12345')}{num(2)}-{num(2)}-{num(3)}{r.choice('123456789')}"),
-        "iban": (("IBAN", "bank account", "IBAN:", "transfer to", "payment to"), lambda: r.choice(["DE", "FR", "ES", "IT"]) + num(2) + (sep := r.choice(["", " "])) + sep.join(num(4) for _ in range(r.randint(4, 5)))),
+        "iban": (("IBAN", "bank account", "IBAN:", "transfer to", "payment to"), lambda: account(r.choice(["DE", "FR", "ES", "IT"]), num(4 * r.randint(4, 5)))),
         "email_spelled": (("mail", "write to", "contact", "reach me:", "", "address"), lambda: f"{word(5)}.{word(4)} [at] {word(6)} [dot] {r.choice(['com', 'org'])}"),
         "secret": (("", "login with", "user", "auth", "credentials"), lambda: r.choice(["password=", 'token = "', "secret: ", "api_key="]) + hexa(r.randint(16, 40))),
         "mac": (("MAC", "device", "hardware address", "adapter"), lambda: ":".join(hexa(2) for _ in range(6))),
@@ -199,55 +261,120 @@ class Trees:
         return " + ".join([f"{self.base}D", *map(one, self.trees)])
 
 
+def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve that makes margins probabilities; the slope is positive."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -35, 35)))
+        w = p * (1 - p) + 1e-6
+        g = np.array([((y - p) * margin).sum() - 0.01 * (a - 1), (y - p).sum()])
+        h = np.array([[(w * margin * margin).sum() + 0.01, (w * margin).sum()], [(w * margin).sum(), w.sum()]])
+        step = np.linalg.solve(h, g)
+        a, b = max(a + float(step[0]), 0.05), b + float(step[1])
+        if np.abs(step).max() < 1e-9:
+            break
+    return a, b
+
+
+@dataclass(frozen=True)
+class Judge:
+    """Trees, the curve from margins to probabilities, and the least probability for each judged kind."""
+
+    trees: Trees
+    curve: tuple[float, float]
+    least: dict[int, float]
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] * self.trees.margin(x) + self.curve[1], -35, 35)))
+
+    def margins(self) -> dict[int, float]:
+        """The margin at each kind's least probability."""
+        a, b = self.curve
+        return {k: (math.log(p / (1 - p)) - b) / a for k, p in self.least.items()}
+
+
 @functools.lru_cache(maxsize=2)
-def _learn(rows: str) -> tuple[Trees, dict[int, float]]:
-    """Trees, and for each judged kind the margin over which 49 of 50 unseen examples are right, half a unit at least."""
+def _learn(rows: str) -> Judge:
+    """Learn on three quarters of the examples and calibrate on the last.
+
+    A kind's least probability is the least one from which on 49 of 50 unseen examples are right, 0.6 at least.
+    """
     data = json.loads(rows)
     x, y = np.array([r[0] for r in data], float), np.array([r[1] for r in data], float)
     fold = np.arange(len(y)) % 4 == 0
     trees = Trees(x[~fold], y[~fold])
-    margin, kind, cuts = trees.margin(x[fold]), x[fold, 0], {}
-    for k in map(KINDS.index, JUDGED):
-        m, t = margin[kind == k], y[fold][kind == k]
+    curve = platt(trees.margin(x[fold]), y[fold])
+    judge = Judge(trees, curve, {})
+    p, kind = judge.probability(x[fold]), x[fold, 0]
+    for name in JUDGED:
+        k = KINDS.index(name)
+        m, t = p[kind == k], y[fold][kind == k]
         order = np.argsort(-m, kind="stable")
         right = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
         good = np.flatnonzero(right >= 0.98)
-        s = np.append(m[order], m.min() - 1)
-        cuts[k] = max(0.5, float(s[good[-1]] + s[good[-1] + 1]) / 2) if len(good) else float("inf")
-    return trees, cuts
-
-
-def fit(spark: SparkSession) -> tuple[Trees, dict[int, float]]:
-    """Learn from the examples; their features are made by the expressions that documents go through."""
-    made = [{"i": i, "t": t, "y": y} for i, (t, y) in enumerate(examples())]
-    df = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(made)), "array<struct<i:int,t:string,y:int>>")).alias("x")).select("x.*")
-    df = _matches(df, "t", JUDGED)
-    df = df.select("i", "y", F.explode(F.concat(*[_located(k) for k in JUDGED])).alias("c"))
-    rows = df.select("i", F.col("c.s").alias("s"), F.array(*_features(F.col("c"))).alias("f"), "y").orderBy("i", "s", F.col("c.k")).collect()
-    return _learn(json.dumps([[list(r["f"]), r["y"]] for r in rows]))
+        if not len(good):
+            raise ValueError(f"no threshold makes spans of {name} right often enough")
+        s = np.append(m[order], 0.0)
+        judge.least[k] = min(max(0.6, float(s[good[-1]] + s[good[-1] + 1]) / 2), 1 - 1e-6)
+    return judge
+
+
+def _featured(spark: SparkSession, made: list[tuple[str, int]]) -> list:
+    """Features and label of each candidate in made texts, by the expressions that documents go through."""
+    rows = [{"i": i, "t": t, "y": y} for i, (t, y) in enumerate(made)]
+    df = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<i:int,t:string,y:int>>")).alias("x")).select("x.*")
+    df = df.select("i", "y", F.explode(F.concat(*[_located(F.col("t"), k, p) for k, p in JUDGED.items()])).alias("c"))
+    got = df.select("i", F.col("c.s").alias("s"), F.array(*_features(F.col("c"))).alias("f"), "y").orderBy("i", "s", F.col("c.k")).collect()
+    return [[list(r["f"]), r["y"]] for r in got]
+
+
+@functools.lru_cache(maxsize=1)
+def fit(spark: SparkSession) -> Judge:
+    """Learn from the examples, once in a session."""
+    return _learn(json.dumps(_featured(spark, examples())))
+
+
+def reliability(spark: SparkSession, seed: int = 99, n: int = 200, bins: int = 5) -> list[tuple[str, float, int, float, float]]:
+    """For each kind and bin of probability, over examples made anew: lower edge, number, mean probability, share that is personal data."""
+    judge, rows = fit(spark), _featured(spark, examples(seed, n))
+    x, y = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+    p, out = judge.probability(x), []
+    for name in JUDGED:
+        for b in range(bins):
+            at = (x[:, 0] == KINDS.index(name)) & (np.minimum((p * bins).astype(int), bins - 1) == b)
+            if at.any():
+                out.append((name, b / bins, int(at.sum()), round(float(p[at].mean()), 4), round(float(y[at].mean()), 4)))
+    return out
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with spans, an array of (s, e, k): start and end in code points and the number of the kind, by start and kind.
 
-    A null or empty text has no spans. Spans of base kinds are those of the right format; a span of another kind that
-    lies within one of these isn't listed again. Other columns pass through; a column named spans is replaced.
+    A null or empty text has no spans; repeated rows each have their own; an empty table gives no rows. Spans of base kinds
+    are those of the right format; a span of another kind that lies within one of these isn't listed again. Spans of other
+    kinds may overlap each other and parts of base spans. Other columns pass through; a column named spans is replaced.
+    Work is in proportion to the text, and to n log n of the n matches in it.
     """
-    trees, cuts = fit(docs.sparkSession)
-    df = _matches(docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit(""))), "__t", BASE | JUDGED)
-    df = df.withColumns({"__base": F.filter(F.concat(*[_located(k) for k in BASE]), _holds), "__more": F.concat(*[_located(k) for k in JUDGED])})
-    df = df.drop("__t", *[f"__{a}_{k}" for a in "mp" for k in KINDS])
+    judge = fit(docs.sparkSession)
+    df = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
+    t = F.col("__t")
+    base = F.filter(F.concat(*[_located(t, k, p) for k, p in BASE.items()]), _holds)
+    df = df.withColumns({"__base": base, "__more": F.concat(*[_located(t, k, p) for k, p in JUDGED.items()])}).drop("__t")
+    bare = lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"))
+
+    def outside(every: Column) -> Column:
+        """Spans by start and kind, without judged ones that lie within a base span; base kinds come first at a start."""
+        reach = _scan(F.transform(every, lambda c: F.when(c["k"] < len(BASE), c["e"]).otherwise(0)), F.greatest)
+        kept = _let(reach, lambda top: F.filter(every, lambda c, i: (c["k"] < len(BASE)) | (F.get(top, i) < c["e"])))
+        none = F.array().cast("array<double>")
+        return F.transform(kept, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"), F.when(c["k"] >= len(BASE), F.array(*_features(c))).otherwise(none).alias("f")))
+
+    df = df.withColumn("__all", F.when(F.size("__more") > 0, _let(F.array_sort(F.concat("__base", "__more")), outside)))
     width = len(_features(F.struct(F.lit(0).alias("k"), *[F.lit("").alias(c) for c in "mlr"])))
-    with_f = F.transform("__more", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"), F.array(*_features(c)).alias("f")))
-    df = df.withColumn("__more", F.when(F.size("__more") > 0, with_f))
-    margin = trees.sql([f"c.f[{j}]" for j in range(width)])
-    limit = " ".join(f"WHEN {k} THEN {min(v, 1e9)}D" for k, v in cuts.items())
-    chosen = F.expr(f"filter(__more, c -> ({margin}) >= CASE c.k {limit} ELSE 1e9D END AND NOT exists(__base, b -> b.s <= c.s AND b.e >= c.e))")
-    plain = lambda a: F.transform(a, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k")))
-    none = F.expr("cast(array() as array<struct<s:int,e:int,k:int>>)")
-    by = "(a, b) -> CASE WHEN a.s < b.s OR a.s = b.s AND a.k < b.k THEN -1 WHEN a.s = b.s AND a.k = b.k THEN 0 ELSE 1 END"
-    df = df.withColumn("spans", F.concat(plain(F.col("__base")), F.coalesce(plain(chosen), none))).drop("__base", "__more")
-    return df.withColumn("spans", F.expr(f"array_sort(spans, {by})"))
+    margin = judge.trees.sql([f"c.f[{j}]" for j in range(width)])
+    limit = " ".join(f"WHEN {k} THEN {v}D" for k, v in judge.margins().items())
+    chosen = F.transform(F.expr(f"filter(__all, c -> c.k < {len(BASE)} OR ({margin}) >= CASE c.k {limit} ELSE 1e9D END)"), bare)
+    return df.withColumn("spans", F.when(F.size("__more") > 0, chosen).otherwise(F.transform(F.array_sort("__base"), bare))).drop("__base", "__more", "__all")
 
 
 def _names() -> Column:
@@ -268,18 +395,23 @@ def _of(n: int) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each span in the text replaced by its kind in brackets; spans that overlap are replaced as one, under the first kind."""
+    """docs with each span in the text replaced by its kind in brackets; spans that overlap are replaced as one, under the first kind.
+
+    Null and empty texts stay; other columns pass through, whatever their names. The text is put together from blocks,
+    so the work is in proportion to it.
+    """
     columns = docs.columns
     found = find(docs.withColumnsRenamed({c: f"__own_{c}" for c in columns}), f"__own_{text_col}")
     text = F.col(f"__own_{text_col}")
 
-    def join(acc, c):
-        kept = F.substring(text, acc["at"] + 1, c["s"] - acc["at"])
-        mark = F.concat(F.lit("["), F.upper(F.element_at(_names(), c["k"] + 1)), F.lit("]"))
-        inside = c["s"] < acc["at"]
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(kept, mark)))
-        return F.struct(F.greatest(acc["at"], c["e"]).alias("at"), out.alias("out"))
+    def clean(blocks: Column) -> Column:
+        def around(reach: Column) -> Column:
+            before = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
+            heads = F.filter(F.transform("spans", lambda c, i: F.struct(before(i).alias("a"), c["s"].alias("b"), c["k"].alias("k"))), lambda x: x["b"] >= x["a"])
+            marked = F.transform(heads, lambda x: F.concat(_piece(blocks, x["a"], x["b"]), F.lit("["), F.upper(F.element_at(_names(), x["k"] + 1)), F.lit("]")))
+            return F.concat(F.array_join(marked, ""), _piece(blocks, F.element_at(reach, -1), F.length(text)))
+
+        return _let(_scan(F.transform("spans", lambda c: c["e"]), F.greatest), around)
 
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), join, rest)).otherwise(text)
-    return found.withColumn(f"__own_{text_col}", clean).select(*[F.col(f"__own_{c}").alias(c) for c in columns])
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << _BLOCK_BITS}}}"), F.lit(0))
+    return found.withColumn(f"__own_{text_col}", F.when(F.size("spans") > 0, _let(blocks, clean)).otherwise(text)).select(*[F.col(f"__own_{c}").alias(c) for c in columns])
