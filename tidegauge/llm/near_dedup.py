@@ -2,10 +2,12 @@
 
 A document is the set of its five-word shingles. Equal sets are one class, under its least id. Each class has a signature of K
 coordinates; classes are posted under coordinate-value pairs. Two sets of similarity 0.85 agree in 54 of 64 coordinates
-on average and in fewer than T = 44 2.8 times in 10,000 (1.1 at 0.86, 0.1 at 0.88); such a pair is missed unless other
-sets link it. Classes that agree in T have one of their K - T + 1 rarest pairs in common, so only these are posted (the
-prefix), and of them only those that another class has. Values that many documents share, of common lines or passages,
-aren't rare and are skipped.
+on average and in fewer than T = 36 7.5 times in 1,000,000,000 (1.5 at 0.86); such a pair is missed unless other sets
+link it. That is the one thing here that isn't exact. Tests measure the recall of pairs at the limit.
+
+How many classes have a pair is counted first, with partial sums, so a frequent pair is a few rows in a shuffle. Classes that
+agree in T pairs have T shared pairs each, and one of the m - T + 1 rarest of a class's m shared pairs is common to both: only
+this prefix is posted. The lists of pairs that many documents share, of common lines or passages, are skipped.
 
 Posting lists aren't expanded to pairs: a list is a star around its least class, and connected stars are a
 neighbourhood. Within it each class's collisions with the others are counted on the signatures, and pairs of T or more that
@@ -21,19 +23,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm import _exchange as X
 from tidegauge.llm._components import components
+from tidegauge.llm._exchange import tidy
 from tidegauge.llm._frames import add_columns, spread, written
 from tidegauge.llm._text import LOWER, NOT_SPACE, grams, mix, slices, tokenise
 
 SHINGLE = 5
-K, T = 64, 44
+K, T = 64, 36
 #: Similarity in hundredths from which documents are linked.
 LIKE = 85
 #: Classes in a block, and bytes of their sets.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
-#: Classes whose pairs are counted at once.
-GROUP = 8192
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,55 +85,23 @@ def _describe():
     return f
 
 
-def _pairs(table: pa.Table):
-    """Classes of a group in order, and a hash of each of their coordinate-value pairs."""
-    table = table.sort_by("rep")
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, K)
-    return table, mix(sig.astype(np.uint64) | (np.arange(K, dtype=np.uint64) << np.uint64(32)), 3)
-
+def _unroll(batches):
+    """Rows (pair, rep): a hash of each coordinate-value pair of each class."""
+    place = np.arange(K, dtype=np.uint64) << np.uint64(32)
+    for b in batches:
+        if b.num_rows:
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, K)
+            pairs = mix(sig.astype(np.uint64) | place, 3).view(np.int64).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), b.column("rep").take(pa.array(np.repeat(np.arange(b.num_rows), K)))], names=["pair", "rep"])
 
-def _send_pairs(n: int):
-    def f(key, table):
-        _, pairs = _pairs(table)
-        h, count = np.unique(pairs, return_counts=True)
-        records = np.hstack([X.pack(h, 5), np.minimum(count, 255).astype(np.uint8)[:, None]])
-        return X.ask(key[0].as_py(), 0, h, records, n)
-
-    return f
 
-
-def _count_pairs(key, table):
-    """How many classes have each pair, up to 255, a byte each."""
-    sent = table.column("sent").to_pylist()
-    code = [X.unpack(x, 5, 0, 6) for x in sent]
-    count = np.concatenate([X.unpack(x, 1, 5, 6) for x in sent])
-    _, inverse = np.unique(np.concatenate(code), return_inverse=True)
-    total = np.minimum(np.bincount(inverse, weights=count.astype(np.float64)), 255).astype(np.uint8)[inverse]
-    edge = np.cumsum([0, *map(len, code)])
-    return pa.table({"run": table.column("run"), "bucket": table.column("bucket"), "kind": table.column("kind"), "bits": pa.array([total[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
-
-
-def _post(n: int):
-    """Rows (pair, rep) of the prefix of each class, where others have the pair too."""
-
-    def f(key, table, answers):
-        if not table.num_rows:
-            return pa.table({"pair": pa.array([], pa.int64()), "rep": pa.array([], pa.int64())})
-        table, pairs = _pairs(table)
-        h, inverse = np.unique(pairs, return_inverse=True)
-        got = {b: x for b, x in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)}
-        b, _ = X.cuts(h, n)
-        often = np.frombuffer(b"".join(got[x] for x in b.tolist()), np.uint8)
-        inverse = inverse.reshape(pairs.shape)
-        # rarest first; h is sorted, so its index orders pairs that are as rare
-        rank = np.argsort((often[inverse].astype(np.uint64) << np.uint64(56)) | (pairs >> np.uint64(8)), axis=1, kind="stable")[:, : K - T + 1]
-        row = np.repeat(np.arange(len(pairs)), rank.shape[1])
-        col = rank.ravel()
-        keep = often[inverse[row, col]] > 1
-        rep = table.column("rep").to_numpy()
-        return pa.table({"pair": pairs[row, col][keep].view(np.int64), "rep": rep[row[keep]]})
-
-    return f
+def _posts(classes: DataFrame) -> DataFrame:
+    """Rows (pair, rep) of the prefix of each class: its rarest shared pairs but for the last T - 1."""
+    pairs = classes.select("rep", "sig").mapInArrow(_unroll, "pair long, rep long")
+    often = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = pairs.join(spread(often), "pair")
+    own = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "pair"))).alias("p")).where(F.size("p") >= T)  # K at most
+    return own.select("rep", F.explode(F.slice("p", F.lit(1), F.size("p") - (T - 1))).alias("x")).select("x.pair", "rep")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -226,14 +194,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    with X.tidy(spark):
+    with tidy(spark):
         about = written(add_columns(docs, ["text"], "n_shingles long, key binary, sig binary", _describe, drop=("text",)))
         known = about.where("n_shingles > 0 and id is not null")
         classes = written(known.groupBy("key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
-        n = max(1, -(-classes.count() // GROUP))
-        groups = classes.select(F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int").alias("run"), "rep", "sig").groupBy("run")
-        counts = written(groups.applyInArrow(_send_pairs(n), X.ASKED).groupBy("bucket").applyInArrow(_count_pairs, X.ANSWERED))
-        posts = written(groups.cogroup(counts.groupBy("run")).applyInArrow(_post(n), "pair long, rep long"))
+        posts = written(_posts(classes))
         least = posts.groupBy("pair").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).where("v < last").select("pair", "v")
         hoods = components(posts.join(spread(least), "pair").select(F.col("rep").alias("u"), "v"))
         hoods = written(hoods.unionByName(hoods.select(F.col("component").alias("id"), "component").distinct()).select(F.col("id").alias("rep"), F.col("component").alias("hood")))
