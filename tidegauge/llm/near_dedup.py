@@ -168,7 +168,7 @@ def _visit(rows: DataFrame, guests: DataFrame) -> DataFrame:
     out = guests.join(per, "hood").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     out = out.where("other <> block").drop("block").withColumnRenamed("other", "block").withColumn("guest", F.lit(True))
     own = rows.join(per, "hood").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("guest", F.lit(False))
-    return own.select(columns).unionByName(out.select(columns)).groupBy("hood", "block", "part").applyInArrow(_across, "u long, v long")
+    return own.select(columns).unionByName(out.select(columns)).repartition("hood", "block", "part").groupBy("hood", "block", "part").applyInArrow(_across, "u long, v long")
 
 
 def _join_blocks(sets: DataFrame, clusters: DataFrame) -> DataFrame:
