@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 from collections import defaultdict
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -17,6 +18,12 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def canonical(text):
+    """Compatibility composition before and after case folding; white space runs as one space, none at the ends."""
+    t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
+    return re.sub(r"\s+", " ", re.sub(r"[\x1c-\x1f]", " ", t)).strip()
+
+
 def pii(text):
     """Base spans (start, kind's number, end, kind) in order."""
     t, out = text or "", []

@@ -14,14 +14,15 @@ import zlib
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegauge.llm._exchange import tidy
-from tidegauge.llm._frames import add_columns, written
-from tidegauge.llm._order import cut_points, order_key, run_of, text_stats
+from tidegauge.llm._frames import add_columns, spread, written
+from tidegauge.llm._order import order_key
 
-#: Bytes of text in a run of neighbouring ids.
-RUN_BYTES = 8 << 20
+#: Bytes of text in a partition of neighbouring ids, about; they are streamed, so this bounds no memory.
+RUN_BYTES = 64 << 20
 
 
 def canonical(text: str) -> str:
@@ -56,10 +57,13 @@ def settle(rows: DataFrame, digest_col: str, text_col: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' ids with the fingerprint of each text (null: as empty); texts of shared digests are compared."""
+    """docs' ids with the fingerprint of each text (null: as empty); texts of shared digests are compared.
+
+    Repeated rows have a row each, an empty table none; other columns aren't read. A text of any length is canonical as a whole.
+    """
     with_d = add_columns(docs.select(id_col, text_col), [text_col], "fingerprint string", lambda: _digests)
     shared = written(with_d.groupBy("fingerprint").count().where("count > 1").select("fingerprint"))
-    both = with_d.join(shared.withColumn("__shared", F.lit(True)), "fingerprint", "left")
+    both = with_d.join(spread(shared.withColumn("__shared", F.lit(True))), "fingerprint", "left")
 
     def make():
         def f(texts, flags):
@@ -71,90 +75,95 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return settle(full, "fingerprint", "__canonical").select(id_col, "fingerprint")
 
 
-_EDITED = "doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, canonical binary"
+_EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, canonical binary"
+_ROW, _HEAD, _TAIL = 0, 1, 2
+
+
+def _finish(doc, text: str, nxt: str, keep: bool) -> tuple:
+    """A document beside the next one; its canonical text is kept, packed, if another document has its digest."""
+    n = len(text)
+    q = n // 4
+    edited = text[: n - q] + nxt[:q]
+    a, b, c = canonical(text), canonical(edited), canonical(nxt)
+    raw = a.encode("utf-8", "surrogatepass")
+    da = xxhash.xxh3_128_hexdigest(raw)
+    db = da if a == b else xxhash.xxh3_128_hexdigest(b.encode("utf-8", "surrogatepass"))
+    packed = zlib.compress(raw, 1) if keep else None  # equal if and only if the texts are
+    return doc, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), da, db, float(a == b), float(a == c), packed
+
+
+_KINDS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64(), "canonical": pa.binary()}
+_EDGES = {"part": pa.int32(), "edge": pa.int32(), "shared": pa.bool_(), "text": pa.string()}
+
+
+def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
 def _edit(batches):
-    """Rows of a partition by run, own rows before the next run's first, id; out: each document beside the next one."""
-    run = held = None
-    done, shared, out = True, set(), []
-
-    def finish(text: str, nxt: str):
-        n = len(text)
-        q = n // 4
-        edited = text[: n - q] + nxt[:q]
-        raw = edited.encode("utf-8", "surrogatepass")
-        a, b, c = canonical(text), canonical(edited), canonical(nxt)
-        da = xxhash.xxh3_128_hexdigest(x := a.encode("utf-8", "surrogatepass"))
-        db = da if a == b else xxhash.xxh3_128_hexdigest(b.encode("utf-8", "surrogatepass"))
-        return n, hashlib.sha256(raw).hexdigest(), da, db, float(a == b), float(a == c), x
-
-    def batch():
-        cols = list(zip(*out, strict=True))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary())
-        names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "canonical")
-        b = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-        out.clear()
-        return b
-
-    size = 0
+    """Rows of a partition in order, the mark of a shared digest before its row: each document beside the next one.
+
+    The first and the last document come out as they are, to be put beside those of other partitions.
+    """
+    part, kinds = TaskContext.get().partitionId(), _KINDS | _EDGES
+    held = mark = None
+    out, size = [], 0
+    none = (None,) * len(_KINDS)
     for b in batches:
-        for r, tail, doc, flag, text in zip(*(b.column(c).to_pylist() for c in ("run", "tail", "id", "flag", "text")), strict=True):
-            if r != run:
-                run, held, done, shared = r, None, False, set()
+        for key, h, doc, flag, text in zip(*(b.column(c).to_pylist() for c in ("ord", "h", "id", "flag", "text")), strict=True):
             if flag:
-                shared.add(doc)
-                continue
-            if done:
+                mark = (key, h)
                 continue
             text = text or ""
-            if held is not None:
-                row = finish(held[1], text)
-                keep = zlib.compress(row[-1], 1) if held[0] in shared else None  # equal if and only if the texts are
-                shared.discard(held[0]) if held[0] != doc else None
-                out.append((held[0], *row[:-1], keep))
-                size += len(keep or b"") + 300
-                if size > 4 << 20:
-                    yield batch()
-                    size = 0
-            held = (doc, text)
-            done = bool(tail)
-    if out:
-        yield batch()
+            if held is None:
+                out.append((*none, part, _HEAD, False, text))
+            else:
+                out.append((*_finish(*held[:2], text, held[2]), part, _ROW, False, None))
+                size += len(out[-1][len(_KINDS) - 1] or b"") + 300
+            held = (doc, text, mark == (key, h))
+            if size > 4 << 20:
+                yield _batch(out, kinds)
+                out, size = [], 0
+    if held is not None:
+        out.append((held[0], *none[1:], part, _TAIL, held[2], held[1]))
+        yield _batch(out, kinds)
+
+
+def _edit_pairs(batches):
+    for b in batches:
+        if b.num_rows:
+            yield _batch([_finish(d, t or "", n or "", s) for d, t, n, s in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "next", "shared")), strict=True)], _KINDS)
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edit with the start of the next document, and whether they agree.
 
-    Likeness of exact fingerprints is 1 where they are equal and 0 elsewhere. Documents stand in runs of neighbouring ids;
-    the first of each run goes along with the run before as well. Null ids come first, rows of equal ids by text;
-    a single document is its own next.
+    Likeness of exact fingerprints is 1 where they are equal and 0 elsewhere. Documents are sorted by id in ranges; each
+    range's last one goes along with the next range's first. Null ids come first, by a hash of the text; so do rows of equal ids. A
+    single document is its own next; an empty table gives no rows; other columns aren't read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumns({"ord": order_key("id", "text"), "h": F.xxhash64("text")})
     with tidy(docs.sparkSession):
         return _edit_report(docs)
 
 
 def _edit_report(docs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(2 * spark.sparkContext.defaultParallelism, size // RUN_BYTES)
     digests = written(add_columns(docs, ["text"], "fingerprint string", lambda: _digests, drop=("text",)))
-    n_runs = max(1, -(-text_stats(docs, "text")[1] // RUN_BYTES))
-    cuts = cut_points(digests, "doc_id", n_runs)
-    run = run_of(order_key("doc_id"), cuts).cast("int")
     repeated = digests.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
-    flags = digests.join(repeated, "fingerprint", "left_semi").select(run.alias("run"), F.lit(0).alias("tail"), order_key("doc_id").alias("ord"), F.col("doc_id").alias("id"), F.lit(True).alias("flag"), F.lit(None).cast("string").alias("text"))
-    heads = sorted(digests.groupBy(run.alias("run")).agg(F.min(order_key("doc_id")).alias("ord")).collect())
-    # one entry for each run: the number of runs bounds it
-    before = {h["ord"]: heads[i - 1]["run"] for i, h in enumerate(heads)}
-    ids, runs = F.lit(list(before)), F.lit(list(before.values()))
-    own = docs.select(run.alias("run"), order_key("doc_id").alias("ord"), F.col("doc_id").alias("id"), F.lit(False).alias("flag"), "text")
-    if before:
-        head = F.array_position(ids, F.col("ord"))
-        places = F.when(head > 0, F.array(F.struct(F.col("run").alias("run"), F.lit(0).alias("tail")), F.struct(F.element_at(runs, head.cast("int")).alias("run"), F.lit(1).alias("tail"))))
-        places = places.otherwise(F.array(F.struct(F.col("run").alias("run"), F.lit(0).alias("tail"))))
-        rows = own.withColumn("place", F.explode(places)).select("place.run", "place.tail", "ord", "id", "flag", "text")
-    else:
-        rows = own.select("run", F.lit(0).alias("tail"), "ord", "id", "flag", "text")
-    rows = rows.unionByName(flags)
-    rows = rows.repartition(2 * n_runs, "run").sortWithinPartitions("run", "tail", "ord", F.col("flag").desc(), "text")
-    done = written(rows.mapInArrow(_edit, _EDITED.format(kind="long")))
-    return settle(done, "fingerprint", "canonical").drop("canonical")
+    flags = digests.join(spread(repeated), "fingerprint", "left_semi").select("ord", "h", "id", F.lit(True).alias("flag"), F.lit(None).cast("string").alias("text"))
+    rows = docs.select("ord", "h", "id", F.lit(False).alias("flag"), "text").unionByName(flags)
+    rows = rows.repartitionByRange(n, "ord", "h").sortWithinPartitions("ord", "h", F.col("flag").desc(), "text")
+    done = written(rows.mapInArrow(_edit, f"{_EDITED}, part int, edge int, shared boolean, text string"))
+    heads = done.where(F.col("edge") == _HEAD).select("part", F.col("text").alias("next"))
+    # one number for each partition that has rows
+    parts = sorted(r["part"] for r in heads.select("part").collect())
+    after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "own int, part int")
+    ends = done.where(F.col("edge") == _TAIL).select("doc_id", "text", "shared", F.col("part").alias("own")).join(after, "own").join(heads, "part")
+    ends = ends.select("doc_id", "text", "next", "shared").mapInArrow(_edit_pairs, _EDITED)
+    every = done.where(F.col("edge") == _ROW).select(*_KINDS).unionByName(ends)
+    # a document's own name, should its digest have had to be told apart, is also that of an edit that changes nothing
+    fixed = settle(every, "fingerprint", "canonical").drop("canonical")
+    return fixed.withColumn("edited_fingerprint", F.when(F.col("near_edited") == 1, F.col("fingerprint")).otherwise(F.col("edited_fingerprint")))

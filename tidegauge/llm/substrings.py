@@ -6,8 +6,8 @@ the other place has a probe that meets it. So all places of repeated sequences l
 words are compared among all documents by 96-bit hashes, and each but the first is a repeat; windows that
 overlap extend to maximal repeats.
 
-Documents stand in chunks of neighbouring ids. Both questions (which windows meet a block, which sequences stand
-earlier) are asked with packed hashes; see _exchange. Texts are read and dealt to chunks three times instead of being kept.
+Documents stand in chunks of neighbouring ids and of about as many bytes. Both questions (which windows meet a block, which
+sequences stand earlier) are asked with packed hashes; see _exchange. Texts are dealt to chunks once and kept so in the shared folder.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.llm import _exchange as X
 from tidegauge.llm._frames import trim, written
-from tidegauge.llm._order import cut_points, order_key, run_of, text_stats
+from tidegauge.llm._order import cut_points, order_key, run_of
 from tidegauge.llm._text import NOT_SPACE, grams, join_words, mix, slices, tokenise, within
 
 BLOCK = 10
@@ -29,6 +29,49 @@ SPAN = 2 * BLOCK
 _BITS = 38
 
 
+class _Probes(X.Records):
+    """Hashes of windows with whether they stand more than once and whether they are a block's."""
+
+    width = 5
+
+    def ids(self, raw):
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw
+        return wide.view("<u8").reshape(-1) >> np.uint64(2)
+
+    def part(self, ids, n, ways):
+        return ((ids >> np.uint64(_BITS - 32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+    def join(self, raw, first):
+        flags = raw[:, 0] & 3
+        each = np.diff(np.append(first, len(raw)))
+        out = raw[first].copy()
+        out[:, 0] = (out[:, 0] & 0xFC) | np.bitwise_or.reduceat(flags, first) | np.where(each > 1, 2, 0).astype(np.uint8) if len(first) else 0
+        return out
+
+    def bits(self, answer, is_first):
+        return answer
+
+
+class _Spans(X.Records):
+    """96-bit hashes of sequences; what isn't the first of its team is later whatever the others say."""
+
+    width = 12
+
+    def ids(self, raw):
+        return np.ascontiguousarray(raw).view([("k", "<u8"), ("m", "<u4")]).reshape(-1)
+
+    def part(self, ids, n, ways):
+        rest = (ids["k"] >> np.uint64(32)) * np.uint64(ways) & np.uint64(0xFFFFFFFF)
+        return (rest * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+    def join(self, raw, first):
+        return raw[first]
+
+    def bits(self, answer, is_first):
+        return answer | ~is_first
+
+
 class _Chunk:
     """Words of the documents of one chunk in order of id."""
 
@@ -92,7 +135,7 @@ def _meet(key, table):
     often[inverse[(every & np.uint64(2)) > 0]] = True
     block[inverse[(every & np.uint64(1)) > 0]] = True
     met = (often & block)[inverse]
-    return X.answer(table, [met[i:j] for i, j in zip(size[:-1], size[1:], strict=True)])
+    return X.answer_rows(table, [met[i:j] for i, j in zip(size[:-1], size[1:], strict=True)])
 
 
 def _hits(c: _Chunk, answers: pa.Table, n: int) -> np.ndarray:
@@ -125,7 +168,7 @@ def _earlier(key, table):
     later = np.zeros(len(k), bool)
     later[order] = same
     edge = np.concatenate([[0], np.cumsum(size)])
-    return X.answer(table, [later[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)])
+    return X.answer_rows(table, [later[i:j] for i, j in zip(edge[:-1], edge[1:], strict=True)])
 
 
 _OUT = (("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string()))
@@ -157,27 +200,25 @@ def _remove(n: int, with_text: bool):
     return f
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, chunk_bytes: int = X.CHUNK_BYTES, ways: int | None = None, team: int | None = None) -> DataFrame:
     """id (an integer), n_words, n_removed, kept text (null unless with_text) and its SHA-256 for every row of docs.
 
     A word goes if a window of SPAN words over it stands earlier, in a document of a smaller id or before in its own;
-    windows are judged on the input. A null or empty text has no words; null ids come first; rows of equal ids
-    are in order of text, so of repeated rows the first keeps its words. Texts of fewer words than SPAN lose none.
+    windows are judged on the input. A null or empty text has no words. Null ids come first, by a hash of their texts; rows
+    of equal ids are in order of text, so of repeated rows the first keeps its words. Texts of fewer words than SPAN lose
+    none. An empty table gives no rows; other columns aren't read. Rows of one id stand in one chunk, as does a text of any
+    length, so these should fit into a task. ways and team are those of _exchange.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    n = max(1, -(-text_stats(docs, "text")[1] // chunk_bytes))
-    run = run_of(order_key("id"), cut_points(docs.where("id is not null"), "id", n)).cast("int")
-
-    def chunks():
-        return docs.select(run.alias("run"), order_key("id").alias("ord"), "id", "text").groupBy("run")
-
-    with X.tidy(spark):
-        met = written(chunks().applyInArrow(_probe(n), X.ASKED).groupBy("bucket").applyInArrow(_meet, X.ANSWERED))
-        later = written(chunks().cogroup(met.groupBy("run")).applyInArrow(_compare(n), X.ASKED).groupBy("bucket").applyInArrow(_earlier, X.ANSWERED))
-    answers = met.unionByName(later)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("ord", order_key("id", "text"))
+    cuts = cut_points(docs.select("ord", F.octet_length("text").alias("size")), "ord", "size", chunk_bytes)
+    n = len(cuts) + 1
+    ways = min(n, X.WAYS if ways is None else ways)
+    with X.tidy(docs.sparkSession):
+        chunks = X.settled(docs.select(run_of(F.col("ord"), cuts).cast("int").alias("run"), "ord", "id", "text").repartition(2 * n, "run")).groupBy("run")
+        met = written(X.exchange(chunks.applyInArrow(_probe(ways), X.ASKED), n, _Probes(), _meet, ways, team))
+        later = written(X.exchange(chunks.cogroup(met.groupBy("run")).applyInArrow(_compare(ways), X.ASKED), n, _Spans(), _earlier, ways, team))
     out = "id long, n_words long, n_removed long, kept string, kept_sha256 string"
-    return chunks().cogroup(answers.groupBy("run")).applyInArrow(_remove(n, with_text), out)
+    return chunks.cogroup(met.unionByName(later).groupBy("run")).applyInArrow(_remove(ways, with_text), out)
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
