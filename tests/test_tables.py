@@ -117,6 +117,91 @@ def test_partial_refresh_equals_full(spark, ticks, tmp_path):
     assert {r["status"] for r in log.entries().collect()} == {"completed"}
 
 
+def _hours(spark, first, last, *more):
+    """A row each hour with a zone, and of one key."""
+    return spark.sql(f"SELECT explode(sequence(TIMESTAMP '{first}', TIMESTAMP '{last}', INTERVAL 1 HOUR)) AS time").select("time", F.lit("A").alias("symbol"), F.lit(1).alias("volume"), *more)
+
+
+@pytest.mark.parametrize("width", ["1 day", "1 month"])
+def test_refresh_follows_the_zone(spark, tmp_path, width):
+    """Ranges of a New York aggregate end where New York's days and months do, over a change of its clocks too."""
+    h = _hours(spark, "2024-01-01 00:00:00", "2024-03-20 00:00:00")
+    c = Catalog(spark, f"{tmp_path}/z")
+    c.create_table("ticks", h.schema, "time", "7 days")
+    c.append("ticks", h)
+    a = c.create("ny", "ticks", "time", width, ["symbol"], _aggs(), tz="America/New_York")
+    want = rows(a.d.over(h))
+    assert rows(a.read()) == want
+    a.refresh("2024-01-02 00:00:00", "2024-03-12 12:00:00")
+    assert rows(a.read()) == want
+    log = c.enable_partial_refresh("ny")
+    late = h.where("hour(time) = 3 AND time > TIMESTAMP '2024-03-08 00:00:00' AND time < TIMESTAMP '2024-03-12 00:00:00'")
+    c.append("ticks", late)
+    assert log.process() > 0 and rows(a.read()) == rows(a.d.over(h.unionByName(late)))
+
+
+def test_reopened_catalog(spark, ticks, tmp_path):
+    """Definitions, how far they are filled and what is stale are there after the objects are gone."""
+    root = f"{tmp_path}/o"
+    c = Catalog(spark, root)
+    c.create_table("ticks", ticks.schema, "time", "7 days")
+    c.append("ticks", ticks.where("time < TIMESTAMP_NTZ '2024-01-10 12:00:00'"))
+    texts = {"n": "count(*)", "total": "sum(volume)"}
+    c.create("live", "ticks", "time", "1 day", ["symbol"], texts, with_data=False, materialized_only=False).refresh(None, "2024-01-10 00:00:00")
+    c.create("weekly", "live", "bucket", "7 days", [], {"n": "sum(n)"}, with_data=False)
+    c.create("columns", "ticks", "time", "1 day", ["symbol"], _aggs())
+    c.enable_partial_refresh("columns")
+    c.append("ticks", ticks.where("time >= TIMESTAMP_NTZ '2024-01-10 12:00:00'"))
+    with pytest.raises(ValueError):
+        Catalog.open(spark, root)
+    o = Catalog.open(spark, root, {"columns": _aggs()})
+    assert o.order() == ["live", "weekly", "columns"]
+    want = rows(o.aggregates["live"].d.over(ticks))
+    assert rows(o.aggregates["live"].read()) == want
+    o.refresh_cascade(name="weekly")
+    assert o.aggregates["weekly"].read().agg(F.sum("n")).first()[0] == ticks.count()
+    assert o.logs["columns"].process() > 0 and rows(o.aggregates["columns"].read()) == rows(o.aggregates["columns"].d.over(ticks))
+
+
+def test_partial_refresh_of_moved_rows(spark, ticks, tmp_path):
+    """Rows whose key or time changes leave one group and come to another; both are refreshed, and days between aren't."""
+    c = Catalog(spark, f"{tmp_path}/m")
+    c.create_table("ticks", ticks.schema, "time", "1 day")
+    c.append("ticks", ticks)
+    a = c.create("daily", "ticks", "time", "1 day", ["symbol"], _aggs())
+    log = c.enable_partial_refresh("daily")
+    c.update("ticks", (F.col("symbol") == "A") & (F.col("time") < F.lit("2024-01-02").cast("timestamp_ntz")), {"symbol": F.lit("C"), "time": F.col("time") + F.expr("INTERVAL 10 DAY")})
+    assert sorted((r["symbol"], r["range_start"], r["range_end"]) for r in log.entries().collect()) == [("A", D(2024, 1, 1), D(2024, 1, 2)), ("C", D(2024, 1, 11), D(2024, 1, 12))]
+    log.process()
+    assert rows(a.read()) == rows(a.d.over(c.tables["ticks"].read())) and not a.read().where("symbol = 'C'").isEmpty()
+
+
+def test_only_touched_chunks_are_rewritten(spark, ticks, tmp_path):
+    t = ChunkedTable.create(spark, f"{tmp_path}/w", ticks.schema, "time", "1 day", rows=ticks)
+    files = lambda: {f for f in t.read().inputFiles()}
+    before = files()
+    t.update(F.col("time") == F.lit("2024-01-05 06:00:00").cast("timestamp_ntz"), {"price": F.lit(2.0)})
+    t.delete(F.col("time") == F.lit("2024-01-07 06:00:00").cast("timestamp_ntz"))
+    t.upsert(ticks.where("time = TIMESTAMP_NTZ '2024-01-09 06:00:00'").withColumn("volume", F.lit(777)), ["time", "symbol"])
+    gone = {f.split("__chunk=")[1].split("/")[0] for f in before - files()}
+    assert gone == {"20240105T000000", "20240107T000000", "20240109T000000"}
+    assert t.read().count() == ticks.count() - 2 and t.read().where("volume = 777").count() == 2
+    with pytest.raises(RuntimeError):  # the version is there already
+        t._commit(t._manifest()[0], t._manifest()[1])
+
+
+def test_large_chunk_is_split_among_tasks(spark, tmp_path):
+    """One chunk of more than the advised size makes several files."""
+    d = spark.range(400_000).select(F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 80000)").alias("time"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(2 << 20))
+    try:
+        t = ChunkedTable.create(spark, f"{tmp_path}/l", d.schema, "time", "7 days", rows=d)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(t.show_chunks()) == 1 and len(t.read().inputFiles()) > 3 and t.read().count() == 400_000
+
+
 def test_cascade_order_and_drop(spark, ticks, tmp_path):
     c = Catalog(spark, f"{tmp_path}/d")
     c.create_table("ticks", ticks.schema, "time", "7 days")

@@ -58,6 +58,22 @@ def _column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _local(t: Column, tz: str) -> Column:
+    """Wall clock of a zone at an instant."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), F.to_utc_timestamp(t, F.current_timezone()).cast("timestamp_ntz"))
+
+
+def _instant(local: Column, tz: str) -> Column:
+    """The instant of a zone's wall clock."""
+    return F.from_utc_timestamp(F.convert_timezone(F.lit(tz), F.lit("UTC"), local).cast("timestamp"), F.current_timezone())
+
+
+def step_of(width: str | Width) -> Column:
+    """The width as an interval."""
+    w = parse_width(width)
+    return F.expr(f"INTERVAL '{w.months}' MONTH") if w.months else F.expr(f"INTERVAL '{w.micros / 1e6:f}' SECOND")
+
+
 def time_bucket(width: str | Width, ts: str | Column, tz: str | None = None) -> Column:
     """Start of the bucket that holds ts.
 
@@ -66,8 +82,7 @@ def time_bucket(width: str | Width, ts: str | Column, tz: str | None = None) ->
     """
     w, t = parse_width(width), _column(ts)
     if tz is not None:
-        local = F.convert_timezone(F.lit("UTC"), F.lit(tz), F.to_utc_timestamp(t, F.current_timezone()).cast("timestamp_ntz"))
-        return F.from_utc_timestamp(F.convert_timezone(F.lit(tz), F.lit("UTC"), time_bucket(w, local)).cast("timestamp"), F.current_timezone())
+        return _instant(time_bucket(w, _local(t, tz)), tz)
     if w.months:
         if w.months == 1:
             return F.date_trunc("month", t).cast("timestamp_ntz")
@@ -85,3 +100,24 @@ def bucket_start(width: str | Width, ts: str | Column) -> Column:
         return time_bucket(w, t)
     since = F.timestamp_diff("MICROSECOND", F.lit(ORIGIN).cast("timestamp_ntz"), t)
     return F.timestamp_add("MICROSECOND", -F.pmod(since, F.lit(w.micros)), t)
+
+
+def bucket_of(width: str | Width, ts: str | Column, tz: str | None = None) -> Column:
+    """As time_bucket, by arithmetic alone, so that a projection may hold many."""
+    if tz is None:
+        return bucket_start(width, ts)
+    return _instant(bucket_start(width, _local(_column(ts), tz)), tz)
+
+
+def next_bucket(width: str | Width, start: str | Column, tz: str | None = None) -> Column:
+    """Start of the bucket after the one that starts there."""
+    t = _column(start)
+    return t + step_of(width) if tz is None else _instant(_local(t, tz) + step_of(width), tz)
+
+
+def buckets_within(width: str | Width, start: str | Column, end: str | Column, tz: str | None = None) -> Column:
+    """Array of the starts of all buckets from one that starts at start to before the one that starts at end."""
+    a, b = _column(start), _column(end)
+    if tz is None:
+        return F.sequence(a, b - step_of(width), step_of(width))
+    return F.transform(F.sequence(_local(a, tz), _local(b, tz) - step_of(width), step_of(width)), lambda x: _instant(x, tz))

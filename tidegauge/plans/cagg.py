@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidegauge.functions.bucket import bucket_start, parse_width, time_bucket
-from tidegauge.sources.storage import ChunkedTable
+from tidegauge.functions.bucket import bucket_of, buckets_within, next_bucket, time_bucket
+from tidegauge.functions.states import merge_intervals
+from tidegauge.operators import merge
+from tidegauge.sources.storage import ChunkedTable, _Store
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where executors and the driver can both write: the folder in spark.checkpoint.dir, or a local one in tests."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints").rstrip("/")
+    """Where executors and the driver can both write: the folder in spark.checkpoint.dir; a local one only in local mode."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or "/tmp/checkpoints").rstrip("/")
 
 
 def scratch(spark: SparkSession) -> str:
@@ -24,14 +31,18 @@ def scratch(spark: SparkSession) -> str:
 
 @dataclass
 class Definition:
-    """What is grouped and how. read gives the source's rows in a range of its time column, whose ends may be None."""
+    """What is grouped and how. read gives the source's rows in a range of its time column, whose ends may be None.
+
+    Aggregates are Columns or SQL texts; a definition of texts can be kept and opened again. With tz, time has a zone and
+    buckets follow that zone's calendar.
+    """
 
     name: str
     read: Callable[[str | None, str | None], DataFrame]
     time: str
     width: str
     keys: list[str]
-    aggs: dict[str, Column]
+    aggs: dict[str, Column | str]
     bucket: str = "bucket"
     where: str | None = None
     tz: str | None = None
@@ -42,7 +53,12 @@ class Definition:
     def over(self, rows: DataFrame) -> DataFrame:
         """The aggregate of the rows."""
         d = rows.where(self.where) if self.where else rows
-        return d.groupBy(time_bucket(self.width, self.time, self.tz).alias(self.bucket), *self.keys).agg(*[c.alias(n) for n, c in self.aggs.items()])
+        return d.groupBy(time_bucket(self.width, self.time, self.tz).alias(self.bucket), *self.keys).agg(*[(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in self.aggs.items()])
+
+    def kept(self) -> dict:
+        """What a catalog writes down; aggregates that are Columns are left out."""
+        texts = {n: c for n, c in self.aggs.items() if isinstance(c, str)}
+        return {"time": self.time, "width": self.width, "keys": self.keys, "aggs": texts if len(texts) == len(self.aggs) else None, "bucket": self.bucket, "where": self.where, "tz": self.tz, "materialized_only": self.materialized_only, "chunk": self.chunk, "parents": self.parents}
 
 
 class Aggregate:
@@ -52,26 +68,33 @@ class Aggregate:
         self.spark, self.d = spark, definition
         self.schema = definition.over(definition.read(None, None)).schema
         self.table = ChunkedTable.create(spark, f"{root}/{definition.name}", self.schema, definition.bucket, definition.chunk, if_not_exists=True)
-        self.watermark: str | None = None
+        self._read_type = definition.read(None, None).schema[definition.time].dataType
+        self._bucket_type = self.schema[definition.bucket].dataType
+
+    @property
+    def watermark(self) -> str | None:
+        """End of what has been refreshed; it is kept with the table, so it is known after reopening too."""
+        return self.table.properties().get("watermark")
 
     def _whole(self, start: str | None, end: str | None) -> tuple[str | None, str | None]:
-        """The part of a range that is of whole buckets; for open ends that of the rows."""
-        w = parse_width(self.d.width)
-        step = F.expr(f"INTERVAL '{w.months}' MONTH") if w.months else F.expr(f"INTERVAL '{w.micros / 1e6:f}' SECOND")
+        """The part of a range that is of whole buckets of the definition's calendar; for open ends that of the rows."""
+        d = self.d
         if start is None or end is None:
-            r = self.d.read(start, end).agg(F.min(self.d.time).alias("a"), F.max(self.d.time).alias("b")).first()
+            r = d.read(start, end).agg(F.min(d.time).cast("string").alias("a"), F.max(d.time).cast("string").alias("b")).first()
             if r["a"] is None:
                 return None, None
-            lo, hi = (start or str(r["a"])), (end or str(r["b"]))
+            lo, hi = (start or r["a"]), (end or r["b"])
         else:
             lo, hi = start, end
-        t = lambda x: F.lit(x).cast("timestamp_ntz")
-        a = bucket_start(w, t(lo))
-        b = bucket_start(w, t(hi))
-        a = a if start is None else F.when(a == t(lo), a).otherwise(a + step)
-        b = b + step if end is None else b
-        r = self.spark.range(1).select(a.cast("string").alias("a"), b.cast("string").alias("b")).first()
-        return (r["a"], r["b"]) if r["a"] < r["b"] else (None, None)
+        t = lambda x: F.lit(x).cast(self._read_type)
+        a, b = bucket_of(d.width, t(lo), d.tz), bucket_of(d.width, t(hi), d.tz)
+        a = a if start is None else F.when(a == t(lo), a).otherwise(next_bucket(d.width, a, d.tz))
+        b = next_bucket(d.width, b, d.tz) if end is None else b
+        r = self.spark.range(1).select(a.cast("string").alias("a"), b.cast("string").alias("b"), (a < b).alias("some")).first()
+        return (r["a"], r["b"]) if r["some"] else (None, None)
+
+    def _time(self, text: str) -> Column:
+        return F.lit(text).cast(self._bucket_type)
 
     def refresh(self, start: str | None = None, end: str | None = None) -> None:
         """Compute the whole buckets of a range again and put them in the place of what is stored of it."""
@@ -79,8 +102,11 @@ class Aggregate:
         if a is None:
             return
         new = self.d.over(self.d.read(a, b))
-        self._replace(new, lambda old: old.where(~((F.col(self.d.bucket) >= F.lit(a).cast("timestamp_ntz")) & (F.col(self.d.bucket) < F.lit(b).cast("timestamp_ntz")))), a, b)
-        self.watermark = b if self.watermark is None else max(self.watermark, b)
+        bucket = F.col(self.d.bucket)
+        self._replace(new, lambda old: old.where(~((bucket >= self._time(a)) & (bucket < self._time(b)))), a, b)
+        before = self.watermark
+        if before is None or before < b:
+            self.table.set_property("watermark", b)
 
     def _replace(self, new: DataFrame, rest: Callable[[DataFrame], DataFrame], a: str, b: str) -> None:
         chunks = [c for c, x, y in self.table.chunk_bounds() if x < b and y > a]
@@ -91,10 +117,11 @@ class Aggregate:
         stored = self.table.read(start, end)
         if self.d.materialized_only:
             return stored
-        since = max(x for x in (self.watermark, start) if x) if self.watermark or start else None
+        watermark = self.watermark
+        since = max(x for x in (watermark, start) if x) if watermark or start else None
         fresh = self.d.over(self.d.read(since, end))
-        if self.watermark:
-            stored = stored.where(F.col(self.d.bucket) < F.lit(self.watermark).cast("timestamp_ntz"))
+        if watermark:
+            stored = stored.where(F.col(self.d.bucket) < self._time(watermark))
         return stored.unionByName(fresh)
 
 
@@ -106,18 +133,44 @@ class Catalog:
         self.tables: dict[str, ChunkedTable] = {}
         self.aggregates: dict[str, Aggregate] = {}
         self.logs: dict[str, InvalidationLog] = {}
+        self._store = _Store(spark, self.root)
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, aggs: dict[str, dict[str, Column]] | None = None) -> Catalog:
+        """The catalog that was kept in a folder; aggs has the aggregates of those definitions that were given as Columns."""
+        c = cls(spark, root)
+        names = c._store.names("catalog")
+        kept = json.loads(c._store.read(f"catalog/{names[-1]}")) if names else {"tables": [], "aggregates": {}, "logs": []}
+        for n in kept["tables"]:
+            c.tables[n] = ChunkedTable(spark, f"{root}/{n}")
+        for n, d in kept["aggregates"].items():
+            own = (aggs or {}).get(n) or d["aggs"]
+            if own is None:
+                raise ValueError(f"the aggregates of {n} were given as Columns: give them again")
+            c._define(n, d | {"aggs": own})
+        for n in kept["logs"]:
+            c.logs[n] = InvalidationLog(c.aggregates[n], f"{root}/{n}-log", new=False)
+        return c
+
+    def _keep(self) -> None:
+        kept = {"tables": list(self.tables), "aggregates": {n: a.d.kept() for n, a in self.aggregates.items()}, "logs": list(self.logs)}
+        self._store.put(f"catalog/{len(self._store.names('catalog')):012d}.json", json.dumps(kept))
+
+    def _define(self, name: str, d: dict) -> Aggregate:
+        source = d["parents"][0]
+        read = (self.tables[source] if source in self.tables else self.aggregates[source]).read
+        self.aggregates[name] = Aggregate(self.spark, self.root, Definition(name=name, read=read, **d))
+        return self.aggregates[name]
 
     def create_table(self, name: str, schema, time: str, interval: str = "7 days", **more) -> ChunkedTable:
         self.tables[name] = ChunkedTable.create(self.spark, f"{self.root}/{name}", schema, time, interval, **more)
+        self._keep()
         return self.tables[name]
 
-    def create(self, name: str, source: str, time: str, width: str, keys: list[str], aggs: dict[str, Column], with_data: bool = True, **more) -> Aggregate:
+    def create(self, name: str, source: str, time: str, width: str, keys: list[str], aggs: dict[str, Column | str], with_data: bool = True, **more) -> Aggregate:
         """A continuous aggregate of a table or of another aggregate, filled unless with_data is false."""
-        if source in self.tables:
-            read = self.tables[source].read
-        else:
-            read = self.aggregates[source].read
-        a = self.aggregates[name] = Aggregate(self.spark, self.root, Definition(name, read, time, width, keys, aggs, parents=[source], **more))
+        a = self._define(name, {"time": time, "width": width, "keys": keys, "aggs": aggs, "parents": [source], **more})
+        self._keep()
         if with_data:
             a.refresh()
         return a
@@ -161,19 +214,18 @@ class Catalog:
                 log.note(rows)
 
     def update(self, table: str, where: Column, values: dict[str, Column]) -> None:
+        """Change rows; the groups that they leave and those that they come to are noted."""
         old = self.tables[table].read().where(where)
-        for log in [log for n, log in self.logs.items() if table in self.aggregates[n].d.parents]:
-            log.note(old)
+        self.changed(table, old.unionByName(merge.update(old, F.lit(True), values)))
         self.tables[table].update(where, values)
 
     def delete(self, table: str, where: Column) -> None:
-        old = self.tables[table].read().where(where)
-        for log in [log for n, log in self.logs.items() if table in self.aggregates[n].d.parents]:
-            log.note(old)
+        self.changed(table, self.tables[table].read().where(where))
         self.tables[table].delete(where)
 
     def enable_partial_refresh(self, name: str) -> InvalidationLog:
         self.logs[name] = InvalidationLog(self.aggregates[name], f"{self.root}/{name}-log")
+        self._keep()
         return self.logs[name]
 
     def drop(self, name: str, cascade: bool = False) -> list[str]:
@@ -187,6 +239,7 @@ class Catalog:
             self.logs.pop(name, None)
         elif name in self.tables:
             self.tables.pop(name).drop()
+        self._keep()
         return [*gone, name]
 
     def describe(self) -> DataFrame:
@@ -196,27 +249,27 @@ class Catalog:
 
 
 class InvalidationLog:
-    """Ranges of keys whose stored groups are stale, in files; an entry is pending until its id is among those done."""
+    """Runs of buckets of keys whose stored groups are stale, in files; an entry is pending until its id is among those done."""
 
-    def __init__(self, aggregate: Aggregate, root: str):
+    def __init__(self, aggregate: Aggregate, root: str, new: bool = True):
         self.a, self.root, self.spark = aggregate, root, aggregate.spark
         d = aggregate.d
         self.keys = d.keys
-        fields = ", ".join(f"`{k}` {aggregate.schema[k].dataType.simpleString()}" for k in self.keys)
-        self.kind = f"id string, batch string, {fields}, range_start timestamp_ntz, range_end timestamp_ntz"
-        self._empty(self.kind, "entries")
-        self._empty("id string, status string, error string", "done")
+        fields = "".join(f"`{k}` {aggregate.schema[k].dataType.simpleString()}, " for k in self.keys)
+        kind = aggregate.schema[d.bucket].dataType.simpleString()
+        self.kind = f"id string, batch string, {fields}range_start {kind}, range_end {kind}"
+        if new:
+            self._empty(self.kind, "entries")
+            self._empty("id string, status string, error string", "done")
 
     def _empty(self, kind: str, name: str) -> None:
         self.spark.createDataFrame([], kind).write.mode("append").parquet(f"{self.root}/{name}")
 
     @staticmethod
     def stale(rows: DataFrame, d: Definition) -> DataFrame:
-        """For each key of changed rows the range of whole buckets that they touch."""
-        w = parse_width(d.width)
-        step = F.expr(f"INTERVAL '{w.months}' MONTH") if w.months else F.expr(f"INTERVAL '{w.micros / 1e6:f}' SECOND")
-        b = rows.groupBy(*d.keys).agg(F.min(d.time).alias("a"), F.max(d.time).alias("b"))
-        return b.select(*d.keys, bucket_start(w, "a").alias("range_start"), (bucket_start(w, "b") + step).alias("range_end"))
+        """For each key the buckets that changed rows touch, neighbouring ones as one range."""
+        b = rows.select(*d.keys, bucket_of(d.width, d.time, d.tz).alias("range_start")).distinct()
+        return merge_intervals(b.withColumn("range_end", next_bucket(d.width, "range_start", d.tz)), d.keys, "range_start", "range_end")
 
     def note(self, rows: DataFrame) -> None:
         """Log what a batch of changed rows makes stale."""
@@ -247,17 +300,18 @@ class InvalidationLog:
             return 0
         d = self.a.d
         ends = p.agg(F.min("range_start").cast("string").alias("a"), F.max("range_end").cast("string").alias("b")).first()
-        ranges = p.select(*[F.col(k).alias(f"__{k}") for k in self.keys], F.col("range_start").alias("__a"), F.col("range_end").alias("__b"))
+        # stale groups one by one, so that rows meet them by equality
+        groups = p.select(*[F.col(k).alias(f"__{k}") for k in self.keys], F.explode(buckets_within(d.width, "range_start", "range_end", d.tz)).alias("__b")).distinct()
         status, error = "completed", None
         try:
-            def within(rows: DataFrame, time: str, how: str) -> DataFrame:
-                on = (F.col(time) >= F.col("__a")) & (F.col(time) < F.col("__b"))
+            def within(rows: DataFrame, bucket: Column, how: str) -> DataFrame:
+                on = bucket.eqNullSafe(F.col("__b"))
                 for k in self.keys:
                     on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-                return rows.join(ranges, on, how)
+                return rows.join(groups, on, how)
 
-            new = d.over(within(d.read(ends["a"], ends["b"]), d.time, "left_semi"))
-            self.a._replace(new, lambda old: within(old, d.bucket, "left_anti"), ends["a"], ends["b"])
+            new = d.over(within(d.read(ends["a"], ends["b"]), bucket_of(d.width, d.time, d.tz), "left_semi"))
+            self.a._replace(new, lambda old: within(old, F.col(d.bucket), "left_anti"), ends["a"], ends["b"])
         except Exception as e:
             status, error = "failed", str(e)[:500]
         p.select("id", F.lit(status).alias("status"), F.lit(error).cast("string").alias("error")).write.mode("append").parquet(f"{self.root}/done")

@@ -8,6 +8,7 @@ the Hadoop file system, so any shared store will do.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -40,16 +41,17 @@ class _Store:
             s.close()
 
     def put(self, name: str, text: str) -> None:
-        """Write a new file whole: under another name first."""
-        tmp = self.at(f"{name}.{uuid.uuid4().hex}")
-        out = self.fs.create(tmp, False)
+        """Write a new file; it must not be there, which the store itself sees to, so of two writers one fails."""
+        try:
+            out = self.fs.create(self.at(name), False)
+        except Exception as e:
+            if self.fs.exists(self.at(name)):
+                raise RuntimeError(f"{name} exists: another writer was first") from e
+            raise
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        if not self.fs.rename(tmp, self.at(name)):
-            self.fs.delete(tmp, False)
-            raise RuntimeError(f"{name} exists: another writer was first")
 
     def size(self, name: str) -> int:
         p = self.at(name)
@@ -66,7 +68,7 @@ class ChunkedTable:
         self.spark, self.store = spark, _Store(spark, root)
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, schema: T.StructType | str, time: str, interval: str = "7 days", space: tuple[str, int] | None = None, if_not_exists: bool = False, rows: DataFrame | None = None) -> ChunkedTable:
+    def create(cls, spark: SparkSession, root: str, schema: T.StructType | str, time_col: str, interval: str = "7 days", space: tuple[str, int] | None = None, if_not_exists: bool = False, rows: DataFrame | None = None) -> ChunkedTable:
         """A new table; rows are its first ones. space: a column and the number of parts that its hash is dealt to."""
         table = cls(spark, root)
         if table.store.names("versions"):
@@ -75,16 +77,20 @@ class ChunkedTable:
             raise ValueError(f"{root} is a table")
         kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
         parse_width(interval)
-        table._commit({"schema": kind.jsonValue(), "time": time, "interval": interval, "space": space, "segment_by": [], "order_by": [], "checks": {}, "chunks": {}}, 0)
+        table._commit({"schema": kind.jsonValue(), "time": time_col, "interval": interval, "space": space, "segment_by": [], "order_by": [], "checks": {}, "chunks": {}}, 0)
         if rows is not None:
             table.append(rows)
         return table
 
     def _manifest(self) -> tuple[dict, int]:
         names = [n for n in self.store.names("versions") if n.endswith(".json")]
-        if not names:
-            raise ValueError(f"{self.store.root} isn't a table")
-        return json.loads(self.store.read(f"versions/{names[-1]}")), int(names[-1][:-5])
+        for n in reversed(names):
+            for _ in range(10):
+                try:
+                    return json.loads(self.store.read(f"versions/{n}")), int(names[-1][:-5])
+                except ValueError:  # its writer isn't done yet, or never will be
+                    time.sleep(0.2)
+        raise ValueError(f"{self.store.root} isn't a table")
 
     def _commit(self, manifest: dict, version: int) -> None:
         self.store.put(f"versions/{version:012d}.json", json.dumps(manifest))
@@ -106,7 +112,8 @@ class ChunkedTable:
             d = d.withColumn("__space", F.pmod(F.xxhash64(m["space"][0]), F.lit(m["space"][1])).cast("int"))
             parts.append("__space")
         folder = f"data/{uuid.uuid4().hex}"
-        d = d.repartition(*parts, *m["segment_by"]).sortWithinPartitions(*parts, *m["segment_by"], *(m["order_by"] or [m["time"]]))
+        # chunks that are large are split among tasks, and so into files, and small ones share a task
+        d = d.hint("rebalance", *parts, *m["segment_by"]).sortWithinPartitions(*parts, *m["segment_by"], *(m["order_by"] or [m["time"]]))
         d.write.partitionBy("__chunk").option("compression", "zstd").parquet(f"{self.store.root}/{folder}")
         names = [n.split("=", 1)[1] for n in self.store.names(folder) if n.startswith("__chunk=")]
         if not names:
@@ -171,23 +178,52 @@ class ChunkedTable:
             m["chunks"].setdefault(c, []).append(part)
         self._commit(m, v + 1)
 
+    def _names(self, m: dict, rows: DataFrame) -> list[str]:
+        """Chunks of the table that rows belong to."""
+        names = {r[0] for r in rows.select(self._chunk(m)).distinct().collect()}
+        return [c for c in m["chunks"] if c in names]
+
+    def _same_keys(self, m: dict, batch: DataFrame, keys: list[str]) -> list[str]:
+        """Chunks that may hold rows with keys of the batch."""
+        if m["time"] in keys:
+            return self._names(m, batch)
+        known = batch.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+        on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        old = self._frame(m, list(m["chunks"])).select(m["time"], *[k for k in keys if k != m["time"]])
+        return self._names(m, old.join(known, on, "left_semi"))
+
     def upsert(self, batch: DataFrame, keys: list[str], resolve=None) -> None:
-        """Merge a batch in; if the time is among the keys only its chunks are rewritten."""
+        """Merge a batch in; only chunks that hold keys of the batch are rewritten, and its new rows are written to their own."""
         m, _ = self._manifest()
-        touched = None
-        if m["time"] in keys:
-            names = {r[0] for r in batch.select(self._chunk(m)).distinct().collect()}
-            touched = [c for c in m["chunks"] if c in names]
-        self.rewrite(lambda old: merge.upsert(old, batch, keys, resolve), touched)
+        self.rewrite(lambda old: merge.upsert(old, batch, keys, resolve), self._same_keys(m, batch, keys))
 
     def insert_new(self, batch: DataFrame, keys: list[str]) -> None:
-        self.append(merge.new_rows(self.read(), batch, keys))
+        """Add rows of keys that the table hasn't; only chunks that may hold these keys are read for it."""
+        m, _ = self._manifest()
+        self.append(merge.new_rows(self._frame(m, self._same_keys(m, batch, keys)), batch, keys))
 
     def update(self, where: Column, values: dict[str, Column]) -> None:
-        self.rewrite(lambda old: merge.update(old, where, values))
+        """Change columns of some rows; only chunks that hold such rows are rewritten."""
+        m, _ = self._manifest()
+        touched = self._names(m, self._frame(m, list(m["chunks"])).where(where))
+        if touched:
+            self.rewrite(lambda old: merge.update(old, where, values), touched)
 
     def delete(self, where: Column) -> None:
-        self.rewrite(lambda old: merge.delete(old, where))
+        """Drop some rows; only chunks that hold such rows are rewritten."""
+        m, _ = self._manifest()
+        touched = self._names(m, self._frame(m, list(m["chunks"])).where(where))
+        if touched:
+            self.rewrite(lambda old: merge.delete(old, where), touched)
+
+    def properties(self) -> dict:
+        """What users of the table keep with it, such as how far it is filled."""
+        return dict(self._manifest()[0].get("properties", {}))
+
+    def set_property(self, name: str, value) -> None:
+        m, v = self._manifest()
+        m.setdefault("properties", {})[name] = value
+        self._commit(m, v + 1)
 
     def truncate(self) -> None:
         m, v = self._manifest()
