@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 
@@ -70,6 +72,27 @@ def persian_date(d, legacy: bool = True) -> Column:
     return F.struct(year.cast("int").alias("y"), month.cast("int").alias("m"), day.cast("int").alias("d"))
 
 
+def format_sql(template: str, *args: Column) -> Column:
+    """A text with %s as plain values, %I as identifiers and %L as literals in quotes where they need them, and %% as %."""
+    parts, left = [], list(args)
+    for text, kind in re.findall(r"([^%]*)(%[sIL%]|$)", template):
+        if text:
+            parts.append(F.lit(text))
+        if kind == "%%":
+            parts.append(F.lit("%"))
+        elif kind:
+            v = left.pop(0).cast("string")
+            if kind == "%s":
+                parts.append(F.coalesce(v, F.lit("")))
+            elif kind == "%I":
+                parts.append(F.when(v.rlike("^[a-z_][a-z0-9_]*$"), v).otherwise(F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))))
+            else:
+                parts.append(F.coalesce(F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL")))
+    if left:
+        raise ValueError("more values than places for them")
+    return F.concat(*parts)
+
+
 def week_start_sunday(d) -> Column:
     return F.date_sub(_c(d).cast("date"), day_of_week(d))
 

@@ -37,7 +37,7 @@ def sql(name: str, text: str, oracle: str | None = None) -> None:
 
 
 def load_all() -> None:
-    from tidegauge.plans import basics, candles, incremental, joined, series, tables  # noqa: F401
+    from tidegauge.plans import admin, basics, candles, incremental, joined, series, tables  # noqa: F401
 
 
 load_all()

@@ -92,12 +92,16 @@ def ag17(spark, sf_dir):
     return x.join(y, "t").where("a <> b").groupBy("a", "b").agg(F.round(F.corr("va", "vb"), 6).alias("r"))
 
 
-@query("AG18_percentile_rank")
+@query("AG18_percentile_rank", "SELECT event_type, round(count(*) FILTER (WHERE value <= 50) / count(value), 4) AS exact_rank, true AS rank_near, true AS median_near FROM events GROUP BY event_type")
 def ag18(spark, sf_dir):
+    """Rank and median by merged sketches, and whether they are within 0.03 of the exact ones in rank."""
     e = _events(spark, sf_dir)
     daily = e.groupBy("event_type", F.to_date("ts").alias("d")).agg(A.percentile_agg("value").alias("s"))
     whole = daily.groupBy("event_type").agg(A.rollup_percentile("s").alias("s"))
-    return whole.select("event_type", F.round(A.approx_percentile_rank(F.lit(50.0), "s"), 4).alias("rank"), F.round(A.approx_percentile(F.lit(0.5), "s"), 4).alias("median"))
+    got = whole.select("event_type", A.approx_percentile_rank(F.lit(50.0), "s").alias("rank"), A.approx_percentile(F.lit(0.5), "s").alias("median"))
+    share = lambda limit: F.count_if(F.col("value") <= limit) / F.count("value")
+    exact = e.join(F.broadcast(got), "event_type").groupBy("event_type", "rank", "median").agg(share(F.lit(50.0)).alias("at_50"), share(F.col("median")).alias("at_median"))
+    return exact.select("event_type", F.round("at_50", 4).alias("exact_rank"), (F.abs(F.col("rank") - F.col("at_50")) < 0.03).alias("rank_near"), (F.abs(F.col("at_median") - 0.5) < 0.03).alias("median_near"))
 
 
 @query("AG26_merge_intervals", """WITH i AS (SELECT o_custkey AS k, o_orderdate AS s, o_orderdate + INTERVAL 60 DAY AS e FROM orders),
