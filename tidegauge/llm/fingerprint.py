@@ -22,7 +22,7 @@ from tidegauge.llm._frames import add_columns, spread, written
 from tidegauge.llm._order import order_key
 
 #: Bytes of text in a partition of neighbouring ids, about; they are streamed, so this bounds no memory.
-RUN_BYTES = 64 << 20
+RUN_BYTES = 32 << 20
 
 
 def canonical(text: str) -> str:
