@@ -293,7 +293,7 @@ def _segments(v, text):
 
 
 def test_sampling_without_replacement():
-    v = sps.vocabulary(sps.default_model())
+    v = sps.vocabulary(sps.read_model(sps.default_model()))
     n, want = 6000, _segments(v, "hint a")
     s = sps._Slice(v, ["hint a"] * n, np.arange(n, dtype=np.uint64) * np.uint64(7919))
     drawn = s.draw(3)
@@ -310,8 +310,40 @@ def test_sampling_without_replacement():
     assert abs(np.mean(weight) - 1) < 0.01
 
 
+def test_sampling_query_against_all_segmentations(spark):
+    """The query itself, over short texts whose segmentations can all be listed: probabilities, order of draws, distinct paths."""
+    v = sps.vocabulary(sps.read_model(sps.default_model()))
+    texts, n = ["hint a", "the", "on it"], 2000
+    d = spark.createDataFrame([(len(texts) * i + j, t) for i in range(n) for j, t in enumerate(texts)], "doc_id long, text string")
+    got = defaultdict(dict)
+    for r in sps.sampling_report(d).collect():
+        got[r["doc_id"]][r["draw"]] = r
+    for j, t in enumerate(texts):
+        every = {hashlib.sha256(np.array(s, "<i4").tobytes()).hexdigest(): (w, len(s)) for s, w in _segments(v, t).items()}
+        first = Counter()
+        for i in range(n):
+            a, b = (got[len(texts) * i + j][x] for x in (1, 2))
+            first[a["ids_sha256"]] += 1
+            assert a["ids_sha256"] != b["ids_sha256"] and a["round_trip"] and b["round_trip"]
+            for x in (a, b):
+                w, tokens = every[x["ids_sha256"]]
+                assert abs(x["log_prob"] - w) < 1e-9 and x["n_tokens"] == tokens
+        assert max(abs(first[k] / n - math.exp(w)) for k, (w, _) in every.items()) < 0.05
+
+
+def test_encode_is_the_models_own(spark, odd, docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sps.default_model())
+    both = odd.select("doc_id", "text").unionByName(docs.select("doc_id", "text").limit(40))
+    got = sps.encode(both).collect()
+    assert len(got) == odd.count() + 40
+    assert all((r["ids"] is None) == (r["text"] is None) and (r["ids"] or []) == sp.encode(r["text"] or "") and r["n_tokens"] == len(r["ids"] or []) for r in got)
+    assert sps.encode(both.limit(0)).count() == 0
+
+
 def test_sampling_few_segmentations_and_early_bound(monkeypatch):
-    v = sps.vocabulary(sps.default_model())
+    v = sps.vocabulary(sps.read_model(sps.default_model()))
     s = sps._Slice(v, ["", "龘", "a"], np.arange(3, dtype=np.uint64))
     got = s.draw(4)
     assert [len(g) - 1 for g in got] == [1, 1, 2] or len(got[1]) == 2

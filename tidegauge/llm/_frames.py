@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-#: Shared folder for checkpoints where the session names none, as in tests.
+#: Folder for checkpoints where a session in local mode names none, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
@@ -63,10 +63,13 @@ def add_columns(df: DataFrame, inputs: list[str], fields: str, make: Callable[[]
 
 
 def shared(spark: SparkSession) -> SparkSession:
-    """See to it that there is a checkpoint folder; the cluster's own is in spark.checkpoint.dir."""
+    """See to it that there is a checkpoint folder: the cluster's own in spark.checkpoint.dir; a local one only in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or LOCAL_CHECKPOINTS)
     return spark
 
 

@@ -39,19 +39,21 @@ _SPACE = 0x2581
 _EMPTY = np.int64(-1)
 
 
-def default_model() -> str:
-    import public_tokenizers
+#: The model that is taken where none is named, and the most bytes that a model may have, as it is sent to all executors.
+MODEL, MODEL_BYTES = "/opt/tokenizers/piece_bpe_32k.model", 64 << 20
+
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+def default_model() -> str:
+    return MODEL
 
 
 class Vocabulary:
-    """Pieces of a model file as a trie in a hash table, with their log weights."""
+    """Pieces of a model as a trie in a hash table, with their log weights."""
 
-    def __init__(self, path: str):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.byte = np.full(256, -1, np.int32)
         self.raw: list[bytes] = [b""] * n
@@ -107,13 +109,24 @@ class Vocabulary:
         return out
 
 
-_loaded: dict[str, Vocabulary] = {}
+_loaded: dict[bytes, Vocabulary] = {}
+
+
+def read_model(path: str) -> bytes:
+    """Bytes of a model file of the driver's; executors get these and need no file."""
+    with open(path, "rb") as f:
+        raw = f.read(MODEL_BYTES + 1)
+    if len(raw) > MODEL_BYTES:
+        raise ValueError(f"{path} has more than {MODEL_BYTES} bytes")
+    return raw
 
 
-def vocabulary(path: str) -> Vocabulary:
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+def vocabulary(model: bytes) -> Vocabulary:
+    """The vocabulary of a model, made once in a process."""
+    key = hashlib.sha256(model).digest()
+    if key not in _loaded:
+        _loaded[key] = Vocabulary(model)
+    return _loaded[key]
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -414,12 +427,14 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A text with fewer segmentations than draws gives them all, with log_inclusion 0. A null or empty text has one, of no
     tokens. Rows of equal id and text have equal draws. ids is null unless with_ids; round_trip says whether the
     ids decode to the text (U+2581 is a space to the vocabulary and decodes to one). Other columns pass through; one named draws is replaced.
+    An empty table gives no rows. A text's lattice is in memory as a whole, about 350 bytes a character. model is the path of a
+    model file that the driver can read.
     """
-    path = model or default_model()
+    raw = docs.sparkSession.sparkContext.broadcast(read_model(model or default_model()))
     source = docs.withColumn("__key", F.col(id_col).cast("string"))
 
     def make():
-        v = vocabulary(path)
+        v = vocabulary(raw.value)
 
         def f(texts, ids):
             texts, ids = texts.to_pylist(), ids.to_pylist()
@@ -464,16 +479,39 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", model: str | None = None) -> DataFrame:
-    """rows with decoded, the text of an array of piece ids (null: null)."""
-    path = model or default_model()
+    """rows with decoded, the text of an array of piece ids (null: null; none: empty). Other columns pass through; one named decoded is replaced."""
+    raw = rows.sparkSession.sparkContext.broadcast(read_model(model or default_model()))
 
     def make():
-        v = vocabulary(path)
+        v = vocabulary(raw.value)
         return lambda ids: [pa.array([None if x is None else decode_ids(v, np.array(x, np.int64)) for x in ids.to_pylist()], pa.string())]
 
     return add_columns(rows, [ids_col], "decoded string", make)
 
 
+def encode(docs: DataFrame, text_col: str = "text", model: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs with ids, the one segmentation of the whole text that the model itself gives (null: null; empty: none), and n_tokens.
+
+    Repeated rows have equal ids; an empty table gives no rows; other columns pass through, columns of these names are replaced.
+    """
+    raw = docs.sparkSession.sparkContext.broadcast(read_model(model or default_model()))
+
+    def make():
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_proto=raw.value)
+
+        def f(texts):
+            texts = texts.to_pylist()
+            ids = sp.encode([t or "" for t in texts], num_threads=1) if texts else []
+            ids = [None if t is None else x for t, x in zip(texts, ids, strict=True)]
+            return pa.array(ids, pa.list_(pa.int32())), pa.array([len(x or ()) for x in ids], pa.int64())
+
+        return f
+
+    return add_columns(docs, [text_col], "ids array<int>, n_tokens long", make, drop)
+
+
 def sampling_report(docs: DataFrame) -> DataFrame:
     """A row for each document and draw: tokens, digest of the ids, log probability, log of the inclusion chance, and whether it decodes to the text."""
     got = sample_segmentations(docs.select("doc_id", "text"), with_ids=False, drop=("text",))
