@@ -3,9 +3,11 @@
 Of each run of consecutive k-gram hashes the smallest are kept as fingerprints, of benchmark items and of documents
 alike. Two texts that share a span of `span` words share all the k-grams of that span, hence its smallest, so a join on
 fingerprints meets every such span. Each hit is then extended: the spans of `span` words around it are compared with
-the item word by word.
+the benchmark's.
 
-The benchmark is read in blocks of bounded size; each block's index is broadcast and all documents are run against it.
+The join is by the benchmark's size, which is looked at first. Up to BROADCAST_BYTES of texts its fingerprints and spans are one
+index that all executors get; spans are compared by the 64-bit hashes of all their words. Beyond that, fingerprints of documents and
+of items are dealt by hash and joined, and so are the spans around hits, by their very words. Results are the same.
 Items of fewer words than `span` count as one span of their own length, for which every hash is a fingerprint.
 """
 
@@ -17,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm._frames import add_columns
-from tidegauge.llm._text import ALNUM, LOWER, grams, slices, tokenise, within
+from tidegauge.llm._frames import add_columns, spread, written
+from tidegauge.llm._text import ALNUM, LOWER, Words, grams, mix, slices, tokenise, within
 
 #: Words in a span that counts as shared, and in a k-gram.
 SPAN, K = 13, 7
-#: Bytes of benchmark texts whose index is broadcast at once.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark texts up to which their index is broadcast.
+BROADCAST_BYTES = 8 << 20
 _FILTER_BITS = 20
 
 
@@ -59,10 +61,10 @@ class _Table:
 
 
 class Index:
-    """What is broadcast of one block of the benchmark."""
+    """What is broadcast of a small benchmark."""
 
     def __init__(self, ids: list, texts: pa.Array, span: int = SPAN, k: int = K):
-        self.span, self.k, self.ids = span, k, [str(x) for x in ids]
+        self.span, self.k, self.ids = span, k, list(ids)
         words, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for _, _, data, offsets in slices(texts):
             t = tokenise(data, offsets, ALNUM, LOWER)
@@ -125,53 +127,156 @@ class Index:
         return hit, pairs
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The benchmark's items in blocks of about that size, one after the other."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    for b in range(n):
-        yield (items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == b) if n > 1 else items).toArrow()
+_FOUND = "n_words long, hits array<long>, items array<string>"
 
 
-def find_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _by_index(docs: DataFrame, text_col: str, items: DataFrame, span: int) -> DataFrame:
+    """docs with what is found, by an index of a benchmark whose size has been looked at."""
+    block = items.toArrow()
+    index = docs.sparkSession.sparkContext.broadcast(Index(block.column("id").to_pylist(), block.column("text").combine_chunks(), span))
+
+    def make():
+        own = index.value
+
+        def f(texts):
+            n_words, hits, items = [], [], []
+            for _, _, data, offsets in slices(texts):
+                t = tokenise(data, offsets, ALNUM, LOWER)
+                hit, pairs = own.hits(t.hashes(), t.first)
+                met: dict[int, set] = {}
+                for d, i in pairs:
+                    for x, y in zip(d.tolist(), i.tolist(), strict=True):
+                        if own.ids[y] is not None:
+                            met.setdefault(x, set()).add(own.ids[y])
+                at = np.flatnonzero(hit)
+                cut = np.searchsorted(at, t.first)
+                n_words += np.diff(t.first).tolist()
+                hits += [(at[cut[d] : cut[d + 1]] - t.first[d]).tolist() if cut[d + 1] > cut[d] else [] for d in range(len(offsets) - 1)]
+                items += [sorted(met[d]) if d in met else [] for d in range(len(offsets) - 1)]
+            return pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))
+
+        return f
+
+    return add_columns(docs, [text_col], _FOUND, make)
+
+
+def _fingerprints(t: Words, span: int, short: list[int]) -> list[np.ndarray]:
+    """Distinct fingerprints of each text, and hashes of all its spans of the short lengths, told apart by length."""
+    h = t.hashes()
+    g = grams(h, K)
+    at = winnow(g, within(t.first, span), span - K + 1)
+    found, doc = [g[at]], [np.searchsorted(t.first, at, "right") - 1]
+    for n in short:
+        at = np.flatnonzero(within(t.first, n))
+        found.append(mix(grams(h, n)[at], n))
+        doc.append(np.searchsorted(t.first, at, "right") - 1)
+    found, doc = np.concatenate(found), np.concatenate(doc)
+    order = np.lexsort((found, doc))
+    found, doc = found[order], doc[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
+    found, doc = found[new], doc[new]
+    cut = np.searchsorted(doc, np.arange(len(t.first)))
+    return [found[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _prints(span: int, short: list[int]):
+    def f(texts):
+        n, out = [], []
+        for _, _, data, offsets in slices(texts):
+            t = tokenise(data, offsets, ALNUM, LOWER)
+            n += np.diff(t.first).tolist()
+            out += [x.view(np.int64).tolist() for x in _fingerprints(t, span, short)]
+        return pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64()))
+
+    return f
+
+
+def _spans(t: Words, d: int, at: list[int], n: int) -> list[str]:
+    """The words of spans of a text that start at the words at, as one string each."""
+    a, b = int(t.first[d]), int(t.first[d + 1])
+    w = [t.data[x:y].tobytes() for x, y in zip(t.starts[a:b].tolist(), t.ends[a:b].tolist(), strict=True)]
+    return [b" ".join(w[i : i + n]).decode("utf-8", "replace") for i in at]
+
+
+def _item_spans(span: int):
+    """All spans of each item, as one string each; an item of fewer words is one."""
+
+    def f(texts):
+        out = []
+        for _, _, data, offsets in slices(texts):
+            t = tokenise(data, offsets, ALNUM, LOWER)
+            for d, n in enumerate(np.diff(t.first).tolist()):
+                out.append(_spans(t, d, range(n - min(n, span) + 1), min(n, span)) if n else [])
+        return [pa.array(out, pa.list_(pa.string()))]
+
+    return f
+
+
+def _spans_at_hits(span: int, short: list[int]):
+    """Starts, lengths and words of the spans of each text that hold one of its hits."""
+
+    def f(texts, met):
+        out = []
+        for text, hits in zip(texts.to_pylist(), met.to_pylist(), strict=True):
+            for _, _, data, offsets in slices(pa.array([text], pa.large_string())):
+                t = tokenise(data, offsets, ALNUM, LOWER)
+                h, hits = t.hashes(), np.sort(np.array(hits, np.int64).view(np.uint64))
+                known = lambda x: hits[np.minimum(np.searchsorted(hits, x), len(hits) - 1)] == x  # noqa: E731, B023
+                whole, g = within(t.first, span), grams(h, K)
+                at = winnow(g, whole, span - K + 1)
+                at = at[known(g[at])]
+                near = np.zeros(len(whole) + span, bool)
+                for j in range(span - K + 1):
+                    near[at[at >= j] - j] = True
+                starts = [(np.flatnonzero(near[: len(whole)] & whole), span)]
+                for n in short:
+                    x = grams(h, n)
+                    starts.append((np.flatnonzero(known(mix(x, n))) if len(x) else np.zeros(0, np.int64), n))
+                rows = []
+                for p, n in starts:
+                    rows += [{"p": i, "n": n, "span": x} for i, x in zip(p.tolist(), _spans(t, 0, p.tolist(), n), strict=True)]
+                out.append(rows)
+        return [pa.array(out, pa.list_(pa.struct([("p", pa.int64()), ("n", pa.int32()), ("span", pa.string())])))]
+
+    return f
+
+
+def _by_join(docs: DataFrame, text_col: str, items: DataFrame, span: int) -> DataFrame:
+    """docs with what is found, by joins of fingerprints and of spans; a text that stands in many documents goes through them once."""
+    items = written(add_columns(items, ["text"], "spans array<string>", lambda: _item_spans(span)))
+    length = F.size(F.split(F.get("spans", F.lit(0)), " "))
+    # at most span - 1 numbers
+    short = sorted(r["n"] for r in items.where(F.size("spans") > 0).select(length.alias("n")).where(f"n < {span}").distinct().collect())
+    ours = add_columns(items.select("id", "text"), ["text"], "n_words long, prints array<long>", lambda: _prints(span, short))
+    known = ours.select(F.explode("prints").alias("print")).distinct()
+    tagged = add_columns(docs.withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))), [text_col], "n_words long, __prints array<long>", lambda: _prints(span, short))
+    prints = tagged.select("__key", F.explode("__prints").alias("print")).distinct()
+    met = prints.join(spread(known), "print", "left_semi").groupBy("__key").agg(F.collect_list("print").alias("met"))
+    texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("__key"), F.col(text_col).alias("__text")).join(spread(met), "__key").groupBy("__key").agg(F.min("__text").alias("__text"), F.first("met").alias("met"))
+    around = add_columns(texts, ["__text", "met"], "at array<struct<p:long,n:int,span:string>>", lambda: _spans_at_hits(span, short), drop=("__text", "met"))
+    around = written(around.select("__key", F.explode("at").alias("x")).select("__key", "x.*"))
+    theirs = items.select("id", F.explode("spans").alias("span")).distinct()
+    at = around.join(spread(theirs.select("span").distinct()), "span", "left_semi").groupBy("__key").agg(F.collect_list(F.struct("p", "n")).alias("at"))
+    hits = at.select("__key", F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["p"], x["p"] + x["n"] - 1))))).alias("__hits"))
+    of = around.select("__key", "span").distinct().join(spread(theirs), "span").select("__key", "id").distinct()
+    of = of.groupBy("__key").agg(F.array_sort(F.collect_list("id")).alias("__items"))
+    found = written(hits.join(of, "__key"))
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(f"array<{kind}>"))
+    out = tagged.drop("__prints", "hits", "items").join(spread(found), "__key", "left")
+    return out.select(*[c for c in docs.columns if c not in ("n_words", "hits", "items")], "n_words", none("__hits", "long").alias("hits"), none("__items", "string").alias("items"))
+
+
+def find_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with n_words, hits (indexes of hit words, ascending) and items (ids as strings, sorted) of each document.
 
     A null or empty text has no words and no hits, an item with no words is never met, an empty benchmark hits
-    nothing. Documents and items that are repeated count each for itself, but an item id once. Columns of docs with
-    these three names are replaced; other columns pass through.
+    nothing. Documents and items that are repeated count each for itself, but an item id once; an item whose id is null has its
+    words hit but isn't listed. Columns of docs with these three names are replaced; other columns pass through.
     """
-    spark = docs.sparkSession
-    out = docs
-    for number, block in enumerate(_blocks(benchmark, item_id, item_text, block_bytes)):
-        index = spark.sparkContext.broadcast(Index(block.column("id").to_pylist(), block.column("text").combine_chunks(), span))
-
-        def make(index=index, before=number > 0):
-            own = index.value
-
-            def f(texts, *old):
-                n_words, hits, items = [], [], []
-                for _, _, data, offsets in slices(texts):
-                    t = tokenise(data, offsets, ALNUM, LOWER)
-                    hit, pairs = own.hits(t.hashes(), t.first)
-                    met: dict[int, set] = {}
-                    for d, i in pairs:
-                        for x, y in zip(d.tolist(), i.tolist(), strict=True):
-                            met.setdefault(x, set()).add(own.ids[y])
-                    at = np.flatnonzero(hit)
-                    cut = np.searchsorted(at, t.first)
-                    n_words += np.diff(t.first).tolist()
-                    hits += [(at[cut[d] : cut[d + 1]] - t.first[d]).tolist() if cut[d + 1] > cut[d] else [] for d in range(len(offsets) - 1)]
-                    items += [sorted(met[d]) if d in met else [] for d in range(len(offsets) - 1)]
-                if before:
-                    hits = [sorted({*a, *b}) if a and b else a or b for a, b in zip(hits, old[0].to_pylist(), strict=True)]
-                    items = [sorted({*a, *b}) if a and b else a or b for a, b in zip(items, old[1].to_pylist(), strict=True)]
-                return pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))
-
-            return f
-
-        out = add_columns(out, [text_col, "hits", "items"] if number else [text_col], "n_words long, hits array<long>, items array<string>", make)
-    return out
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    return (_by_index if total <= broadcast_bytes else _by_join)(docs, text_col, items, span)
 
 
 def overlap_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
