@@ -127,14 +127,28 @@ def test_overlap(spark, texts, small):
     every = texts + [(10**6, "zero one two three four"), (10**6 + 1, "ab " * 500), (10**6 + 2, None), (10**6 + 3, "é " * 20 + items[0][1] + " é"), (10**6 + 4, items[1][1][: len(items[1][1]) // 2])]
     d, b = spark.createDataFrame(every, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = brute.overlap(every, items)
-    for block in (decontaminate.BLOCK_BYTES, 900):
-        got = {r["doc_id"]: (r["n_words"], len(r["hits"]), r["items"]) for r in decontaminate.find_overlap(d, b, block_bytes=block).collect()}
+    for most in (decontaminate.BROADCAST_BYTES, 900):  # one index for all, and joins
+        got = {r["doc_id"]: (r["n_words"], len(r["hits"]), r["items"]) for r in decontaminate.find_overlap(d, b, broadcast_bytes=most).collect()}
         assert got == want
     kept = {r["doc_id"] for r in decontaminate.drop_contaminated(d, b).collect()}
     assert kept == {k for k, (n, h, _) in want.items() if not (h and 20 * h >= n)}
     assert decontaminate.drop_contaminated(d, b.limit(0)).count() == len(every)
 
 
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, 0])
+def test_overlap_odd(spark, odd, most):
+    """Nulls, repeated rows and items, columns of the result's names, no documents, no items."""
+    b = spark.createDataFrame([(1, "lorem ipsum dolor"), (1, "lorem ipsum dolor"), (None, "ex"), (2, None), (3, ""), (4, "x")], "item_id long, text string")
+    named = odd.withColumns({"hits": F.lit(1), "items": F.lit("q"), "n_words": F.lit("w")})
+    want = brute.overlap([(i, r["text"]) for i, r in enumerate(odd.collect())], [(1, "lorem ipsum dolor"), (None, "ex"), (4, "x")])
+    got = decontaminate.find_overlap(named, b, broadcast_bytes=most)
+    assert set(got.columns) == set(named.columns) and got.count() == odd.count()
+    flat = lambda n, h, i: (n, h, [x for x in i if x not in ("None", None)])
+    assert sorted(str(flat(r["n_words"], len(r["hits"]), r["items"])) for r in got.collect()) == sorted(str(flat(*w)) for w in want.values())
+    assert decontaminate.find_overlap(named.limit(0), b, broadcast_bytes=most).count() == 0
+    assert decontaminate.find_overlap(named, b.limit(0), broadcast_bytes=most).where("size(hits) = 0 and size(items) = 0").count() == odd.count()
+
+
 def test_winnow_meets_every_span():
     g = np.random.default_rng(1).integers(0, 50, 400, dtype=np.uint64)
     kept = set(decontaminate.winnow(g, np.ones(394, bool), 7).tolist())
@@ -169,6 +183,47 @@ def test_language_ignores_labels_of_held_out_rows(spark):
     assert rows(language.language_report(d)) == rows(language.language_report(other))
 
 
+def test_language_predictions_against_plain_python(spark, texts):
+    """Predictions from the learned weights, worked out text by text: families by the largest margin, then votes of pairs."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    m = language.fit(d)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(d.select("doc_id", "text"), m).collect()}
+    prob = lambda x: 1 / (1 + math.exp(-max(-50, min(50, 4 * x))))
+    for i, t in texts:
+        if t is None or not any(c.isalpha() for c in t):
+            assert got[i] == ("und", 0.0)
+            continue
+        raw = bytes(b | 0x20 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 0x20 for b in t.encode())
+        count = Counter(raw[p : p + 3] for p in range(len(raw) - 2) if raw[p : p + 3] != b"   ")
+        x = Counter()
+        for g, n in count.items():
+            x[(int.from_bytes(g, "big") * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - language.BITS)] += n
+        total = sum(x.values())
+        margin = [float(w[-1]) + sum(float(w[k]) * math.sqrt(n / total) for k, n in x.items()) for w in m.w]
+        names = dict(zip([str(k) for k in m.machines], margin, strict=True))
+        best, sure = m.families[0], 1.0
+        if len(m.families) > 1:
+            p = {f: prob(names[f]) for f in m.families}
+            best = max(m.families, key=lambda f: names[f])
+            sure = p[best] / sum(p.values())
+        votes = dict.fromkeys(m.of[best], 1.0 if len(m.of[best]) == 1 else 0.0)
+        for f, a, b in m.pairs:
+            if f == best:
+                p = prob(names[str((f, a, b))])
+                votes[a] += p
+                votes[b] += 1 - p
+        won = max(votes, key=votes.get)
+        assert got[i][0] == won and abs(got[i][1] - sure * votes[won] / max(len(votes) - 1, 1)) < 1e-3
+
+
+def test_language_sample_is_bounded(spark):
+    """Copies of one text and a column of many languages don't make the sample grow."""
+    d = spark.range(4000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'the same text', concat('text number ', id)) AS text", "IF(id < 3000, 'en', concat('l', id)) AS lang")
+    own = language._sample(d, "doc_id", "text", "lang", 20, 5, 60)
+    got = own.groupBy("lang").count().collect()
+    assert len(got) == 5 and sum(r["count"] for r in got) <= 60 and {r["lang"]: r["count"] for r in got}["en"] <= 12
+
+
 def test_language_odd(spark, odd):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.language_report(odd).collect()}
     assert got[1] == got[2] == got[5] == ("und", 0.0) and got[6][0] != "und"

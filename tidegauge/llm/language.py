@@ -2,8 +2,9 @@
 
 A linear support vector machine for each language family decides the family; within it, one machine for each pair of
 languages votes. Features are the frequencies of three-byte sequences of the whole text, hashed, as unit vectors of
-square roots. Machines are trained by dual coordinate descent on a bounded sample of labelled rows: SAMPLE of each
-language, those of the smallest hashes. The sample is all that reaches the driver.
+square roots. Machines are trained by dual coordinate descent on a bounded sample of labelled texts: of the LANGS most
+frequent languages SAMPLE different texts each, those of the smallest hashes, and MOST in all. The sample goes to the driver as
+sparse rows and from there to the tasks that train, one for each machine.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidegauge.llm._frames import add_columns
 from tidegauge.llm._text import slices
 
-#: Labelled rows of each language that are learned from, at most.
-SAMPLE = 1000
+#: Labelled texts of each language that are learned from, languages, and texts in all, at most.
+SAMPLE, LANGS, MOST = 1000, 256, 32_000
 BITS = 12
 SIZE = 1 << BITS
 #: Families by language code; a code that isn't here is a family of its own.
@@ -60,20 +61,37 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 15) -> np.ndarray:
+class Rows:
+    """Sparse rows of features, each with a last feature of 1 for the constant."""
+
+    def __init__(self, at: list[np.ndarray], values: list[np.ndarray]):
+        one = np.ones(1)
+        self.at = [np.append(a.astype(np.int64), SIZE) for a in at]
+        self.values = [np.concatenate([v.astype(np.float64), one]) for v in values]
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def take(self, which: np.ndarray) -> Rows:
+        out = Rows([], [])
+        out.at, out.values = [self.at[i] for i in which], [self.values[i] for i in which]
+        return out
+
+
+def svm(x: Rows, y: np.ndarray, c: float = 10.0, epochs: int = 15) -> np.ndarray:
     """Weights, the last for the constant, of a linear machine for labels -1 and 1: squared hinge loss, dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w, a = np.zeros(x.shape[1]), np.zeros(len(x))
+    w, a = np.zeros(SIZE + 1), np.zeros(len(x))
     share = np.where(y > 0, np.mean(y < 0), np.mean(y > 0)) * 2
     diag = 1 / (2 * c * np.maximum(share, 1e-6))
-    q = (x * x).sum(axis=1) + diag
+    q = np.array([v @ v for v in x.values]) + diag
     rng = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + diag[i] * a[i]
+        for i in rng.permutation(len(x)).tolist():
+            at, v = x.at[i], x.values[i]
+            g = y[i] * (w[at] @ v) - 1 + diag[i] * a[i]
             new = max(a[i] - g / q[i], 0.0)
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                w[at] += (new - a[i]) * y[i] * v
                 a[i] = new
     return w
 
@@ -81,21 +99,23 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 15) -> np.n
 class Model:
     """Machines for families and for pairs of languages."""
 
-    def __init__(self, x: np.ndarray, lang: list[str]):
+    def __init__(self, langs: list[str]):
         known = {code: family for family, codes in FAMILIES.items() for code in codes}
-        self.langs = sorted(set(lang))
-        family = np.array([known.get(v, v) for v in lang], object)
-        lang = np.array(lang, object)
-        self.families = sorted(set(family))
-        self.of = {f: [v for v in self.langs if known.get(v, v) == f] for f in self.families}
-        rows = []
-        if len(self.families) > 1:
-            rows += [svm(x, np.where(family == f, 1.0, -1.0)) for f in self.families]
+        self.langs = sorted(set(langs))
+        self.family = {v: known.get(v, v) for v in self.langs}
+        self.families = sorted(set(self.family.values()))
+        self.of = {f: [v for v in self.langs if self.family[v] == f] for f in self.families}
         self.pairs = [(f, a, b) for f in self.families for i, a in enumerate(self.of[f]) for b in self.of[f][i + 1 :]]
-        for _, a, b in self.pairs:
-            own = (lang == a) | (lang == b)
-            rows.append(svm(x[own], np.where(lang[own] == a, 1.0, -1.0)))
-        self.w = np.array(rows, np.float32).reshape(len(rows), SIZE + 1)
+        self.machines = [*(self.families if len(self.families) > 1 else []), *self.pairs]
+        self.w = np.zeros((len(self.machines), SIZE + 1), np.float32)
+
+    def train(self, machine: int, x: Rows, lang: np.ndarray) -> np.ndarray:
+        """Weights of one machine from rows and their languages."""
+        m = self.machines[machine]
+        if isinstance(m, str):
+            return svm(x, np.where([self.family[v] == m for v in lang], 1.0, -1.0))
+        own = np.flatnonzero((lang == m[1]) | (lang == m[2]))
+        return svm(x.take(own), np.where(lang[own] == m[1], 1.0, -1.0))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score of each row of features."""
@@ -128,20 +148,37 @@ def _remainder(id_col: str):
     return F.crc32(F.col(id_col).cast("string")) % 4
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Learn from rows with a text and a language whose id doesn't belong to the held out quarter; None if there are none."""
+def _unpack(packed: list[bytes]) -> Rows:
+    n = [len(p) // 6 for p in packed]
+    return Rows([np.frombuffer(p[: 2 * k], np.uint16) for p, k in zip(packed, n, strict=True)], [np.frombuffer(p[2 * k :], np.float32) for p, k in zip(packed, n, strict=True)])
+
+
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int, langs: int, most: int) -> DataFrame | None:
+    """Texts and languages to learn from; None if there are none."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (_remainder(id_col) != 2))
-    key = F.xxhash64(F.col(id_col), F.lit(11))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(text_col, F.lit(11)), F.lit(1 << 40)).alias("h"))
+    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("texts"))
+    counts = {r["lang"]: r["texts"] for r in per.orderBy(F.col("n").desc(), "lang").limit(langs).collect()}
     if not counts:
         return None
-    # the smallest hashes are among those below a cut that leaves about 4 * sample rows of each language, so no task ranks more
-    cut = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 4 * sample / n))])
-    low = F.pmod(key, F.lit(1 << 40)) < F.element_at(cut, F.col(lang_col)) * (1 << 40)
-    ids = rows.where(low).select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.pmod(key, F.lit(1 << 40)).alias("__h"))
-    ids = ids.withColumn("__n", F.row_number().over(Window.partitionBy("__lang").orderBy("__h", "__id"))).where(F.col("__n") <= sample)
-    # `sample` ids of each language: small enough to send to all
-    own = rows.join(F.broadcast(ids.select("__id").distinct()), F.col(id_col) == F.col("__id"), "left_semi").select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    each = max(1, min(sample, most // len(counts)))
+    # of each language the smallest hashes, from among those below a cut that about 4 * each of its texts pass: so no task ranks more
+    cut = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 4 * each / n))])
+    low = rows.select("lang", "h").where(F.col("h") < F.element_at(cut, F.col("lang")) * (1 << 40)).distinct()
+    picked = low.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= each).select("lang", "h")
+    # `most` rows of two numbers: small enough to send to all
+    return rows.join(F.broadcast(picked), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, langs: int = LANGS, most: int = MOST) -> Model | None:
+    """Learn from rows with a text and a language whose id doesn't belong to the held out quarter; None if there are none.
+
+    A text that stands in many rows counts once for each of its languages.
+    """
+    spark = docs.sparkSession
+    own = _sample(docs, id_col, text_col, lang_col, sample, langs, most)
+    if own is None:
+        return None
 
     def make():
         def f(texts):
@@ -157,13 +194,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = add_columns(own, ["text"], "f binary", make, drop=("text",)).toArrow()
     if not got.num_rows:
         return None
-    lang, packed = got.column("lang").to_pylist(), got.column("f").to_pylist()
-    order = sorted(range(len(lang)), key=lambda i: (lang[i], packed[i]))
-    x = np.zeros((len(order), SIZE), np.float32)
-    for i, j in enumerate(order):
-        n = len(packed[j]) // 6
-        x[i, np.frombuffer(packed[j][: 2 * n], np.uint16)] = np.frombuffer(packed[j][2 * n :], np.float32)
-    return Model(x, [lang[j] for j in order])
+    rows = sorted(zip(got.column("lang").to_pylist(), got.column("f").to_pylist(), strict=True))
+    model = Model([r[0] for r in rows])
+    if not model.machines:
+        return model
+    shared = spark.sparkContext.broadcast((model, rows))
+
+    def train(batches):
+        model, rows = shared.value
+        x, lang = None, np.array([r[0] for r in rows], object)
+        for b in batches:
+            for m in b.column("machine").to_pylist():
+                x = _unpack([r[1] for r in rows]) if x is None else x
+                yield pa.RecordBatch.from_pydict({"machine": pa.array([m], pa.int32()), "w": pa.array([model.train(m, x, lang).astype(np.float32).tobytes()], pa.binary())})
+
+    n = len(model.machines)
+    machines = spark.range(0, n, 1, n).select(F.col("id").cast("int").alias("machine"))
+    for r in machines.mapInArrow(train, "machine int, w binary").collect():  # a row for each machine
+        model.w[r["machine"]] = np.frombuffer(r["w"], np.float32)
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
