@@ -47,3 +47,25 @@ def test_run(spark, small, docs):
     assert a == b and len({r[0] for r in a}) < docs.count()
     assert P.ORACLE_SQL is None
     assert got.select(F.size("ids").cast("long") == F.col("n_tokens")).distinct().collect()[0][0]
+
+
+def test_stages_on_odd_and_empty_tables(spark, small, odd):
+    """Nulls, empty and repeated rows, and extra columns of names that operators use themselves; then no rows at all."""
+    clash = ("spans", "score", "lang_pred", "hits", "items", "n_words", "draws", "key", "rep", "size")
+    given = odd.withColumns({c: F.lit(5) for c in clash})
+    plain = lambda d: sorted(str((r["doc_id"], r["text"])) for r in d.collect())
+    kept = {
+        "language identification": lambda r: any(c.isalpha() for c in r["text"] or ""),
+        "near-duplicate removal": lambda r: r["doc_id"] != 4,
+        "benchmark decontamination": lambda r: True,
+        "personal data redaction": lambda r: True,
+    }
+    for name, stage in P.STAGES:
+        got = stage(spark, given, small)
+        assert stage(spark, given.limit(0), small).count() == 0
+        if name in kept:
+            assert got.columns == given.columns
+            assert plain(got) == sorted(str((r["doc_id"], r["text"])) for r in odd.collect() if kept[name](r))
+            assert got.select(*clash).distinct().count() == 1
+        else:
+            assert got.where("not round_trip").isEmpty() and got.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
