@@ -31,7 +31,7 @@ from tidegauge.llm._text import mix, powers
 DRAWS = 2
 SEED = 17
 #: Characters of text in a slice.
-SLICE = 1 << 19
+SLICE = 1 << 17
 #: Units whose alternatives are looked at first. Noise is bounded, so no alternative beyond a point can be among the largest.
 EARLY, BOUND = 16, 40.0
 
