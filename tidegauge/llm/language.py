@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegauge.llm._frames import add_columns
+from tidegauge.llm._frames import add_columns, trim
 from tidegauge.llm._text import slices
 
 #: Labelled texts of each language that are learned from, languages, and texts in all, at most.
@@ -65,9 +65,9 @@ class Rows:
     """Sparse rows of features, each with a last feature of 1 for the constant."""
 
     def __init__(self, at: list[np.ndarray], values: list[np.ndarray]):
-        one = np.ones(1)
-        self.at = [np.append(a.astype(np.int64), SIZE) for a in at]
-        self.values = [np.concatenate([v.astype(np.float64), one]) for v in values]
+        one = np.ones(1, np.float32)
+        self.at = [np.append(a, np.uint16(SIZE)) for a in at]
+        self.values = [np.concatenate([v, one]) for v in values]
 
     def __len__(self) -> int:
         return len(self.at)
@@ -83,7 +83,7 @@ def svm(x: Rows, y: np.ndarray, c: float = 10.0, epochs: int = 15) -> np.ndarray
     w, a = np.zeros(SIZE + 1), np.zeros(len(x))
     share = np.where(y > 0, np.mean(y < 0), np.mean(y > 0)) * 2
     diag = 1 / (2 * c * np.maximum(share, 1e-6))
-    q = np.array([v @ v for v in x.values]) + diag
+    q = np.array([float(v @ v) for v in x.values]) + diag
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         for i in rng.permutation(len(x)).tolist():
@@ -206,6 +206,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for b in batches:
             for m in b.column("machine").to_pylist():
                 x = _unpack([r[1] for r in rows]) if x is None else x
+                trim()
                 yield pa.RecordBatch.from_pydict({"machine": pa.array([m], pa.int32()), "w": pa.array([model.train(m, x, lang).astype(np.float32).tobytes()], pa.binary())})
 
     n = len(model.machines)
