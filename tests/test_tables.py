@@ -261,3 +261,16 @@ def test_all_users_are_read_back(spark, small, name):
     got = registry.QUERIES[name](spark, small)
     assert rows(got) == rows(spark.read.parquet(f"{small}/events.parquet").select("event_id", "ts", "user_id", "value"))
     assert "EqualTo(user_id,17)" in explain(got.where("user_id = 17"))
+
+
+def test_bounds_of_chunks_are_those_that_spark_gives(spark):
+    from tidegauge.functions.bucket import parse_width, time_bucket
+    from tidegauge.sources.storage import _bounds
+
+    times = spark.sql("SELECT timestamp_ntz'1969-12-01 00:00:00' + make_dt_interval(id * 11, id % 24, id % 60, 0) AS t FROM range(500)")
+    for text in ("1 day", "7 days", "35 minutes", "1 month", "3 months", "1 year"):
+        w = parse_width(text)
+        step = F.expr(f"INTERVAL '{w.months}' MONTH") if w.months else F.expr(f"INTERVAL '{w.micros / 1e6:f}' SECOND")
+        b = times.select(time_bucket(text, "t").alias("b")).distinct()
+        got = b.select(F.date_format("b", "yyyyMMdd'T'HHmmss").alias("n"), F.col("b").cast("string").alias("x"), (F.col("b") + step).cast("string").alias("y")).collect()
+        assert all(_bounds(r["n"], w) == (r["x"], r["y"]) for r in got)

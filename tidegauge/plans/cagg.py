@@ -295,11 +295,11 @@ class InvalidationLog:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(shared_folder(self.spark))
         p = p.select("id", *self.keys, "range_start", "range_end").checkpoint()
-        n = p.count()
+        ends = p.agg(F.count(F.lit(1)).alias("n"), F.min("range_start").cast("string").alias("a"), F.max("range_end").cast("string").alias("b")).first()
+        n = ends["n"]
         if not n:
             return 0
         d = self.a.d
-        ends = p.agg(F.min("range_start").cast("string").alias("a"), F.max("range_end").cast("string").alias("b")).first()
         # stale groups one by one, so that rows meet them by equality
         groups = p.select(*[F.col(k).alias(f"__{k}") for k in self.keys], F.explode(buckets_within(d.width, "range_start", "range_end", d.tz)).alias("__b")).distinct()
         status, error = "completed", None

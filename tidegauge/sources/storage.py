@@ -7,10 +7,12 @@ the Hadoop file system, so any shared store will do.
 
 from __future__ import annotations
 
+import calendar
 import json
 import time
 import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -133,8 +135,10 @@ class ChunkedTable:
         """Name, start and end of each chunk, in order."""
         m = m or self._manifest()[0]
         w = parse_width(m["interval"])
-        if not m["chunks"]:
-            return []
+        try:
+            return sorted((c, *_bounds(c, w)) for c in m["chunks"])
+        except (ValueError, OverflowError):
+            pass  # years that only Spark's calendar has
         step = F.expr(f"INTERVAL '{w.months}' MONTH") if w.months else F.expr(f"INTERVAL '{w.micros / 1e6:f}' SECOND")
         start = F.to_timestamp_ntz(F.col("n"), F.lit("yyyyMMdd'T'HHmmss"))
         rows = self.spark.createDataFrame([(c,) for c in m["chunks"]], "n string").select("n", start.cast("string").alias("a"), (start + step).cast("string").alias("b"))
@@ -305,6 +309,19 @@ class ChunkedTable:
         self.store.drop()
 
 
+def _bounds(chunk: str, w: Width) -> tuple[str, str]:
+    """Start and end of a chunk by its name, as Spark writes times."""
+    start = datetime.strptime(chunk, "%Y%m%dT%H%M%S")
+    if w.months:
+        years, month = divmod(start.month - 1 + w.months, 12)
+        year = start.year + years
+        end = start.replace(year=year, month=month + 1, day=min(start.day, calendar.monthrange(year, month + 1)[1]))
+    else:
+        end = start + timedelta(microseconds=w.micros)
+    texts = (str(start), str(end))
+    return tuple(t.rstrip("0") if "." in t else t for t in texts)
+
+
 def _stamp(text: str) -> str:
     """A time as Spark writes it, so that texts compare as times do."""
     t = str(text).replace("T", " ")
