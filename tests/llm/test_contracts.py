@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -155,6 +156,37 @@ def test_winnow_meets_every_span():
     assert all(kept & set(range(i, i + 7)) for i in range(394)) and len(kept) < 400
 
 
+def test_license_labels_and_scores(spark):
+    rng = random.Random(5)
+    texts = ["", None, "the quick brown fox"]
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = list(rng.choice(lic.TEMPLATES).words)
+            for _ in range(rng.choice([0, 0, 0, 1, 2])):
+                w[rng.randrange(len(w))] = rng.choice(["the", "license", "of", "software", "zebra"])
+            parts += w[rng.choice([0, 0, 0, 3]) :] + ["filler"] * rng.randint(0, 2)
+        texts.append(" ".join(parts).replace(" the ", "; THE "))
+    every = list(enumerate([*texts, *texts[:20]]))
+    words = {i: brute.ALNUM.findall(brute.lower(t)) for i, t in every}
+    df = Counter(w for ws in words.values() for w in set(ws))
+    idf = {w: math.log((1 + len(every)) / (1 + df[w])) + 1e-9 for t in lic.TEMPLATES for w in t.words}
+    got = {r["doc_id"]: r for r in lic.license_report(spark.createDataFrame(every, "doc_id long, text string")).collect()}
+    assert len(got) == len(every)
+    for i, ws in words.items():
+        labels, score = set(), 0.0
+        for t in lic.TEMPLATES:
+            for s in range(-len(t.words), len(ws)):
+                at = {k: s + t.offset(k) for k in t.keys}
+                if all(a >= 0 and ws[a : a + len(k.split())] == k.split() for k, a in at.items()):
+                    labels.add(t.label)
+                    own = sum(idf[x] for j, x in enumerate(t.words) if 0 <= s + j < len(ws) and ws[s + j] == x)
+                    score = max(score, 1.0 if t.base else own / sum(idf[x] for x in t.words))
+        assert got[i]["labels"] == ",".join(sorted(labels)), texts[i % len(texts)]
+        assert abs(got[i]["score"] - score) < 1e-9
+        assert got[i]["n_words"] == len(ws)
+
+
 def test_license(spark, texts):
     extra = ["Released UNDER the MIT License under the mit license", None, "", "rights reserved of gnu general public", "GNU General Public License", "cc by nc CC-BY-NC", "x" * 1000]
     every = texts + [(10**6 + i, t) for i, t in enumerate(extra)]
