@@ -32,6 +32,8 @@ DRAWS = 2
 SEED = 17
 #: Characters of text in a slice.
 SLICE = 1 << 17
+#: Characters below this have their first step in a table.
+_TOP = 1 << 16
 #: Units whose alternatives are looked at first. Noise is bounded, so no alternative beyond a point can be among the largest.
 EARLY, BOUND = 16, 40.0
 
@@ -86,6 +88,8 @@ class Vocabulary:
             while self.keys[slot] != _EMPTY:
                 slot = (slot + 1) & self.mask
             self.keys[slot], self.next[slot] = key, node
+        first = np.arange(_TOP, dtype=np.int64)
+        self.top = self.step(np.zeros(_TOP, np.int64), first)
         self.weight, self.byte_weight = weight, -math.log(n + 2.7)
         self.size = np.array([len(x) for x in self.raw], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
@@ -94,18 +98,27 @@ class Vocabulary:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
+    def start(self, char: np.ndarray) -> np.ndarray:
+        """The node below the root by each character, or -1."""
+        out = self.top[np.minimum(char, _TOP - 1)]
+        far = np.flatnonzero(char >= _TOP)
+        out[far] = self.step(np.zeros(len(far), np.int64), char[far])
+        return out
+
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The node below each node by a character, or -1."""
         key = (node.astype(np.int64) << 21) | char
         slot = self._slot(key)
-        out = np.full(len(key), -1, np.int64)
-        left = np.arange(len(key))
+        there = self.keys[slot]
+        hit = there == key
+        out = np.where(hit, self.next[slot], np.int64(-1))
+        left = np.flatnonzero(~hit & (there != _EMPTY))
         while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
             there = self.keys[slot[left]]
             hit = there == key[left]
             out[left[hit]] = self.next[slot[left[hit]]]
             left = left[~hit & (there != _EMPTY)]
-            slot[left] = (slot[left] + 1) & self.mask
         return out
 
 
@@ -150,11 +163,13 @@ class Lattice:
         src, size, piece = [], [], []
         at, node, step = np.arange(n), np.zeros(n, np.int64), 0
         while len(at):
-            node = v.step(node, chars[at + step])
-            at, node = at[node >= 0], node[node >= 0]
+            node = v.step(node, chars[at + step]) if step else v.start(chars)
+            on = node >= 0
+            at, node = at[on], node[on]
             p = v.ends[node]
-            src.append(at[p >= 0])
-            piece.append(p[p >= 0])
+            on = p >= 0
+            src.append(at[on])
+            piece.append(p[on])
             step += 1
             size.append(np.full(len(src[-1]), step))
             more = at + step < end[at]
@@ -167,16 +182,18 @@ class Lattice:
         size.append(np.ones(len(odd), np.int64))
         piece.append(np.full(len(odd), -1, np.int32))
         self.src, self.size, self.piece = np.concatenate(src), np.concatenate(size), np.concatenate(piece)
-        c = chars[self.src]
+        c = chars[odd]
         width = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
-        w = np.where(self.piece >= 0, v.weight[self.piece], v.byte_weight * width)
+        w = v.weight[self.piece]
+        w[len(w) - len(odd) :] = v.byte_weight * width
         # arcs by the distance of their start from its unit's end, then by start, long ones first: starts stay together, and backward sums go through from left to right
         level = end - np.arange(n)
         longest = int(self.size.max()) + 1 if len(self.size) else 1
-        order = np.argsort((level[self.src] * np.int64(n + 1) + self.src) * longest + (longest - 1 - self.size))
+        place = (level * np.int64(n + 1) + np.arange(n)) * longest + (longest - 1)
+        order = np.argsort(place[self.src] - self.size)
         self.src, self.size, self.piece, w = self.src[order], self.size[order], self.piece[order], w[order]
         dst = self.src + self.size
-        self.lp = np.empty(len(w))
+        self.lp, p = np.empty(len(w)), np.empty(len(w))
         self.arcs = np.bincount(self.src, minlength=n)
         new = np.concatenate([[0], np.flatnonzero(self.src[1:] != self.src[:-1]) + 1]) if n else np.zeros(0, np.int64)
         heads = self.src[new]
@@ -192,11 +209,13 @@ class Lattice:
             x = w[i:j] + np.where(last[i:j], 0.0, beta[dst[i:j]])
             start, many = new[a:b] - i, bound[a + 1 : b + 1] - bound[a:b]
             top = np.maximum.reduceat(x, start)
-            total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, many)), start))
+            p[i:j] = np.exp(x - np.repeat(top, many))
+            mass = np.add.reduceat(p[i:j], start)
+            p[i:j] /= np.repeat(mass, many)
+            total = top + np.log(mass)
             beta[heads[a:b]] = total
             self.lp[i:j] = x - np.repeat(total, many)
         np.minimum(self.lp, 0.0, out=self.lp)
-        p = np.exp(self.lp)
         sums = np.cumsum(p)
         self.cdf = sums - np.repeat(sums[new] - p[new], np.diff(bound)) if n else sums
         self.cdf[bound[1:] - 1] = 2.0
