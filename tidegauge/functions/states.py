@@ -11,11 +11,19 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _once(x: Column, f) -> Column:
+    """f(x) with x worked out once; a lambda that refers to an expression from outside works it out anew for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def state_agg(time, state) -> Column:
     """Changes of state by time, runs of one state as one, and the time of the last observation."""
-    points = F.array_sort(F.collect_list(F.struct(_c(time).alias("t"), _c(state).alias("s"))))
-    changed = F.filter(F.transform(points, lambda x, i: F.struct(x["t"].alias("t"), x["s"].alias("s"), F.when(i == 0, True).otherwise(~x["s"].eqNullSafe(F.get(points, i - 1)["s"])).alias("new"))), lambda x: x["new"])
-    return F.struct(F.transform(changed, lambda x: F.struct(x["t"].alias("t"), x["s"].alias("s"))).alias("changes"), F.element_at(points, -1)["t"].alias("last_time"))
+
+    def runs(points):
+        changes = F.filter(points, lambda x, i: (i == 0) | ~x["s"].eqNullSafe(F.get(points, i - 1)["s"]))
+        return F.struct(changes.alias("changes"), F.element_at(points, -1)["t"].alias("last_time"))
+
+    return _once(F.sort_array(F.collect_list(F.struct(_c(time).alias("t"), _c(state).alias("s")))), runs)
 
 
 def state_timeline(state) -> Column:
